@@ -218,7 +218,7 @@ class SharedSpans:
         few = self.classes.count() <= MOST_BROADCAST
         self._classes = F.broadcast(self.classes) if few else self.classes
         self.reps = self.keyed.join(self._classes, "key", "left").where("rep IS NULL OR rep = doc_id").select("doc_id", "text")
-        self.width = width or width_for(size_estimate(rows.select("text")), length)
+        self.width = width or width_for(size_estimate(docs), length)
         self._sketch = None
 
     def _sent(self):

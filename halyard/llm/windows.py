@@ -199,6 +199,8 @@ def add_packed(xs: Sequence[bytes]) -> bytes:
 
 
 def width_for(text_bytes: int, length: int) -> int:
-    """Counters for a column of so many bytes: twice its anchors, within bounds."""
-    want = max(1, 8 * text_bytes // length)
+    """Counters for texts that take so many bytes in their files, within bounds. A
+    byte there is about two characters; so a row of counters has two to four times
+    as many as there are anchors, and about one in fifty anchors passes by chance."""
+    want = max(1, 16 * text_bytes // length)
     return min(MOST_WIDTH, max(LEAST_WIDTH, 1 << (want - 1).bit_length()))
