@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Characters that are worked on at once; longer texts are cut into overlapping slices.
-SLICE = 1 << 18
+SLICE = 1 << 16
 #: Counters stop at 15 and are kept in half a byte.
 TOP = 15
 ROWS = 3
@@ -105,21 +105,21 @@ class Slice:
         """The places in codes of distinct grams that stand for windows. In a run of
         one character repeated, only its first and its last gram: windows that meet
         in the run meet at its beginning or at its end as well."""
-        p = np.unique(self.pick[np.r_[True, self.pick[1:] != self.pick[:-1]]]) if len(self.pick) else self.pick
-        if not len(p):
-            return p
-        flat = self.codes[p] == self.codes[p + self.k - 1]
-        at = np.flatnonzero(flat)
+        if not len(self.pick):
+            return self.pick
+        p = self.pick[np.r_[True, self.pick[1:] != self.pick[:-1]]]  # in order, as windows are
+        c, k = self.codes, self.k
+        at = np.flatnonzero((c[p] == c[p + k - 1]) & (c[p] == c[p + 1]) & (c[p] == c[p + k // 2]))
         if not len(at):
             return p
-        step = np.flatnonzero(np.r_[True, self.codes[1:] != self.codes[:-1]])  # where runs begin
-        cut = np.union1d(step, self.part_end[:-1])
+        begins = np.r_[True, c[1:] != c[:-1]]
+        begins[self.part_end[:-1]] = True
+        cut = np.flatnonzero(begins)
         run = np.searchsorted(cut, p[at], side="right") - 1
-        end = np.r_[cut[1:], len(self.codes)][run]
-        inside = p[at] + self.k <= end
-        first, last = cut[run[inside]], end[inside] - self.k
-        rest = np.delete(p, at[inside])
-        return np.unique(np.r_[rest, first, last])
+        end = np.r_[cut[1:], len(c)][run]
+        inside = p[at] + k <= end
+        out = np.sort(np.concatenate([np.delete(p, at[inside]), cut[run[inside]], end[inside] - k]))
+        return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def slices(texts: Sequence[str | None], length: int, roll: Roller) -> Iterator[Slice]:
