@@ -67,10 +67,10 @@ def trailing_totals(
         "e",
         "d",
         F.sum("t").over(by_day.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
-        F.lead("d").over(by_day).alias("nxt"),
+        F.coalesce(F.date_sub(F.lead("d").over(by_day), 1), until).alias("last"),
         F.min("d").over(Window.partitionBy("e")).alias("first"),
     )
-    days = F.transform(F.sequence(F.col("d"), F.coalesce(F.date_sub("nxt", 1), until)), lambda x: F.struct(x.alias("day"), F.col("run").alias("run")))
+    days = F.transform(F.sequence("d", "last"), lambda x: F.struct(x.alias("day"), F.col("run").alias("run")))
     if start is not None:
         empty = F.transform(F.sequence(F.lit(start), F.date_sub("d", 1)), lambda x: F.struct(x.alias("day"), F.lit(0).cast(steps.schema["run"].dataType).alias("run")))
         days = F.when((F.col("d") == F.col("first")) & (F.col("d") > F.lit(start)), F.concat(empty, days)).otherwise(days)
