@@ -69,9 +69,20 @@ class Automaton:
         self.n_bytes = np.array([len(t or b"") for t in tokens], np.int32)
         self.label_at = np.r_[0, np.cumsum(self.n_bytes)].astype(np.int64)
         self.labels = np.frombuffer(b"".join(t or b"" for t in tokens), np.uint8)
-        self._suffixes(tokens)
+        self._suffixes([t if ok else None for t, ok in zip(tokens, self._spelt())])
         self._ready = None
 
+    def _spelt(self) -> np.ndarray:
+        """Which tokens are the encoding of their own bytes. Of trained vocabularies
+        all are; others, whose bytes earlier merges pull apart, are never made."""
+        made = np.flatnonzero(self.time >= 0)
+        made = made[np.argsort(self.time[made])]
+        joint = self.follows(self.left[made], self.right[made], self.time[made])
+        ok = np.ones(len(self.time), bool)
+        for c, fine in zip(made.tolist(), joint.tolist()):
+            ok[c] = fine and ok[self.left[c]] and ok[self.right[c]]
+        return ok
+
     def _suffixes(self, tokens: Sequence[bytes | None]) -> None:
         """The automaton of suffixes: a trie of all tokens with failure links."""
         arcs: list[dict[int, int]] = [{}]
@@ -119,12 +130,13 @@ class Automaton:
             self._ready = Encoder(self)
         return self._ready
 
-    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether token b may come after token a, for arrays of tokens."""
+    def follows(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
+        """Whether token b may come after token a, for arrays of tokens; with `until`,
+        whether they may before those times."""
         ok = np.ones(len(a), bool)
         live = np.arange(len(a))
         x, y = a.astype(np.int64), b.astype(np.int64)
-        before = np.full(len(a), np.iinfo(np.int32).max, np.int64)
+        before = np.full(len(a), np.iinfo(np.int32).max, np.int64) if until is None else until.astype(np.int64)
         while len(live):
             key = x << SHIFT | y
             at = np.minimum(np.searchsorted(self.removed, key), len(self.removed) - 1) if len(self.removed) else np.zeros(len(key), int)
@@ -227,6 +239,8 @@ class Encoder:
             node[:m] = self.goto[node[:m], text[start[:m] + i]]
             todo, token = np.arange(m), a.longest[node[:m]]
             while len(todo):
+                if (token < 0).any():
+                    raise ValueError("a text has bytes that no token spells")
                 before = i - a.n_bytes[token]
                 ok = before < 0
                 inner = np.flatnonzero(~ok)
