@@ -121,12 +121,16 @@ class Engine:
         tag = f"halyard-{os.getpid()}-{next(self._ids)}"
         late = threading.Event()
 
+        sc = self.spark.sparkContext
+
         def stop() -> None:
             late.set()
-            session.interruptTag(tag)
+            sc.cancelJobsWithTag(tag)
 
         timer = threading.Timer(self.config.timeout_ms / 1000, stop)
-        session.addTag(tag)
+        timer.daemon = True
+        sc.addJobTag(tag)
+        sc.setInterruptOnCancel(True)
         timer.start()
         try:
             return capped(session.sql(text), self.config.row_cap)
@@ -136,7 +140,7 @@ class Engine:
             raise map_spark_error(e, late.is_set()) from None
         finally:
             timer.cancel()
-            session.removeTag(tag)
+            sc.removeJobTag(tag)
 
     # the catalogue
 

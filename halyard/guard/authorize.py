@@ -46,14 +46,17 @@ class AccessList:
         self.revision, self._looked = -1, float("-inf")
 
     def refresh(self) -> None:
+        """Look at the revision if that is due; whoever comes meanwhile waits."""
         with self._lock:
-            self._looked = time.monotonic()
+            if time.monotonic() - self._looked < self._every:
+                return
             try:
                 if self._current() != self.revision:
                     self.revision, pairs = self._load()
                     self._pairs = frozenset((u, t.lower()) for u, t in pairs)
             except Exception:
                 self.revision, self._pairs = -1, frozenset()
+            self._looked = time.monotonic()
 
     def allows(self, user: str, fqn: str) -> bool:
         if time.monotonic() - self._looked >= self._every:
