@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.keys import col
-from halyard.llm.windows import SLICE, TOP, Roller, Sketch, Slice, add_packed, slices, width_for
+from halyard.llm.windows import MOST_WIDTH, SLICE, TOP, Counts, Roller, Sketch, Slice, add_packed, slices, width_for
 from halyard.operators import bloom
 from halyard.session import materialize, size_estimate
 
@@ -51,6 +51,18 @@ def _count(length: int, width: int):
     return run
 
 
+def _anchors(length: int):
+    """Batches of (doc_id, text) into (h, doc) of all anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b.column(1).to_pylist(), length, _roller(1)):
+                p = s.anchors()
+                yield pa.RecordBatch.from_arrays([pa.array(s._all[p].view(np.int64)), b.column(0).take(pa.array(s.place(p)[0]))], names=["h", "doc"])
+
+    return run
+
+
 def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of equal number in one task are added."""
     total: dict[int, bytes] = {}
@@ -99,18 +111,19 @@ def _windows(s: Slice, which: np.ndarray, ids: pa.Array, once: bool) -> pa.Recor
 
 
 def _repeated(length: int, sent, everything: bool):
-    """Batches of (doc_id, text) into rows of what the sketch estimates repeated.
+    """Batches of (doc_id, text) into rows of what the sketch estimates repeated;
+    without a sketch, of what a third column (array of h and n) says is.
 
     Anchors estimated 2 to TOP - 1 times come with the characters around them;
     behind them are at most so many rows. Windows whose anchor may be more frequent
     come as whole windows. everything: whole windows for all, in every place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch: Sketch = sent.value
         k = length // 2
         side = length - k
         for b in batches:
             texts, ids = b.column(1).to_pylist(), b.column(0)
+            sketch = sent.value if sent is not None else _known(b.column(2))
             for s in slices(texts, length, _roller(1)):
                 seen = sketch.estimate(s.gram)
                 hot = seen >= (2 if everything else TOP)
@@ -131,6 +144,13 @@ def _repeated(length: int, sent, everything: bool):
     return run
 
 
+def _known(lists: pa.Array) -> Counts:
+    flat = lists.flatten()
+    h, n = (np.asarray(flat.field(x)) for x in (0, 1))
+    u, first = np.unique(h.astype(np.int64).view(np.uint64), return_index=True)
+    return Counts(u, n[first])
+
+
 PAIR = "a bigint, b bigint"
 
 
@@ -203,11 +223,13 @@ class SharedSpans:
     of groups with the same texts in them one is kept, and these are paired by the
     windows' characters, so that only pairs that are cases come about.
 
-    The sketch is bounded (windows.MOST_WIDTH); if there are far more anchors than
-    counters, more goes to the exact groups, and the result stays the same.
+    A sketch that every task can hold has at most MOST_WIDTH counters a row. For
+    more anchors than it can tell apart (or with exact_counts) step (1) counts them
+    exactly by a shuffle of their hashes alone, and gives each text the counts of its
+    own repeated anchors; the rest is the same.
     """
 
-    def __init__(self, docs: DataFrame, length: int = 150, doc_id: str = "doc_id", text: str = "text", width: int | None = None):
+    def __init__(self, docs: DataFrame, length: int = 150, doc_id: str = "doc_id", text: str = "text", width: int | None = None, exact_counts: bool | None = None):
         if length < 16 or length > 900:
             raise ValueError("length must be from 16 to 900")
         self.length, self.spark = length, docs.sparkSession
@@ -218,13 +240,30 @@ class SharedSpans:
         few = self.classes.count() <= MOST_BROADCAST
         self._classes = F.broadcast(self.classes) if few else self.classes
         self.reps = self.keyed.join(self._classes, "key", "left").where("rep IS NULL OR rep = doc_id").select("doc_id", "text")
-        self.width = width or width_for(size_estimate(docs), length)
-        self._sketch = None
-
-    def _sent(self):
-        if self._sketch is None:
-            self._sketch = self.spark.sparkContext.broadcast(window_sketch(self.reps, self.length, self.width))
-        return self._sketch
+        want = width or width_for(size_estimate(docs), length)  # a table of unknown size counts as very large
+        self.width = min(want, MOST_WIDTH)
+        self.exact = want > MOST_WIDTH if exact_counts is None else exact_counts
+        self._source = None
+
+    def _marked(self, everything: bool) -> DataFrame:
+        """What is repeated, as rows of ROW."""
+        if self._source is None:
+            if self.exact:
+                self._source = None, self._counted()
+            else:
+                self._source = self.spark.sparkContext.broadcast(window_sketch(self.reps, self.length, self.width)), self.reps
+        sent, texts = self._source
+        return texts.mapInArrow(_repeated(self.length, sent, everything), ROW)
+
+    def _counted(self) -> DataFrame:
+        """(doc_id, text, known) of the texts with an anchor that occurs twice; known:
+        h and count (up to TOP) of these."""
+        anchors = materialize(self.reps.mapInArrow(_anchors(self.length), "h bigint, doc bigint"))
+        twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.least("n", F.lit(TOP)).cast("int").alias("n"))
+        spread = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        mine = anchors.distinct().withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALT)).cast("int")).join(spread, ["h", "salt"])
+        known = mine.groupBy("doc").agg(F.collect_list(F.struct("h", "n")).alias("known"))
+        return self.reps.join(known, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "known")
 
     def members(self) -> DataFrame:
         """(doc_id, rep) of the documents that have exact copies."""
@@ -232,7 +271,7 @@ class SharedSpans:
 
     def rep_pairs(self) -> DataFrame:
         """(a, b), a < b: pairs of representatives that share a span."""
-        found = materialize(self.reps.mapInArrow(_repeated(self.length, self._sent(), False), ROW))
+        found = materialize(self._marked(False))
         near = found.where("around IS NOT NULL").select("h", "doc", "before", "around").repartition("h").sortWithinPartitions("h")
         pairs = near.mapInArrow(_pairs(self.length), PAIR)
         hot = found.where("around IS NULL")
@@ -272,7 +311,7 @@ class SharedSpans:
         """(doc_id, shared_chars) of the documents that share a span: how many of their
         characters lie in windows that stand in another document too. Windows are
         compared by 128 bits of hashes."""
-        found = self.reps.mapInArrow(_repeated(self.length, self._sent(), True), ROW).select("h", "h2", "doc", "pos")
+        found = self._marked(True).select("h", "h2", "doc", "pos")
         found = materialize(found.distinct())
         twice = found.groupBy("h", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "h2")
         salted = found.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALT)).cast("int"))

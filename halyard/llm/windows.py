@@ -20,7 +20,7 @@ SLICE = 1 << 16
 TOP = 15
 ROWS = 3
 BLOCK = 1 << 16
-LEAST_WIDTH, MOST_WIDTH = 1 << 16, 1 << 26
+LEAST_WIDTH, MOST_WIDTH = 1 << 16, 1 << 25
 
 _U = np.uint64
 _ALL = (1 << 64) - 1
@@ -199,8 +199,23 @@ def add_packed(xs: Sequence[bytes]) -> bytes:
 
 
 def width_for(text_bytes: int, length: int) -> int:
-    """Counters for texts that take so many bytes in their files, within bounds. A
-    byte there is about two characters; so a row of counters has two to four times
-    as many as there are anchors, and about one in fifty anchors passes by chance."""
+    """Counters for texts that take so many bytes in their files, at least
+    LEAST_WIDTH. A byte there is about two characters; so a row of counters has two
+    to four times as many as there are anchors, and about one in fifty anchors
+    passes by chance. More than MOST_WIDTH can't be sent to every task."""
     want = max(1, 16 * text_bytes // length)
-    return min(MOST_WIDTH, max(LEAST_WIDTH, 1 << (want - 1).bit_length()))
+    return max(LEAST_WIDTH, 1 << (want - 1).bit_length())
+
+
+class Counts:
+    """Known counts of some keys, 1 for all others: the sketch's estimates, but exact."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.counts = keys[order], counts[order]
+
+    def estimate(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(keys), np.uint8)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 1).astype(np.uint8)
