@@ -116,6 +116,9 @@ SELECT n_nationkey, rank() OVER w AS r, dense_rank() OVER w AS dr, row_number()
 FROM nation WINDOW w AS (ORDER BY n_regionkey)""",
     "top_per_group": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r <= 2",
     "values_and_functions": "SELECT a, upper(b) AS u, length(b) AS n, md5(b) AS h, coalesce(nullif(b, ''), 'none') AS c FROM (VALUES (1, 'x'), (2, ''), (3, 'yz')) AS v(a, b)",
+    "offset_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 40",
+    "mixed_conditions": "SELECT count(*) AS n FROM customer WHERE (c_acctbal BETWEEN 0 AND 5000 OR c_mktsegment ILIKE 'build%') AND c_name NOT LIKE '%9' AND c_nationkey IS NOT NULL",
+    "union_of_aggregates": f"SELECT 'orders' AS kind, count(*) AS n, {_MONEY.format('o_totalprice')} AS total FROM orders UNION ALL SELECT 'lineitem', count(*), {_MONEY.format('l_extendedprice')} FROM lineitem",
     "null_safe_match": "SELECT count(*) AS n FROM (SELECT nullif(o_orderstatus, 'O') AS s FROM orders) a WHERE a.s IS NOT DISTINCT FROM NULL",
     "enum_values_total": "SELECT o_orderpriority AS value, count(*) AS n, CAST(count(*) OVER () AS INT) AS total FROM orders GROUP BY o_orderpriority",
     "json_extract": "SELECT event_type, count(*) AS n FROM events WHERE get_json_object(props, '$.k') = '42' GROUP BY event_type",
