@@ -42,8 +42,9 @@ def digest_tree(live: DataFrame, levels: int) -> list[DataFrame]:
     """From the root (0) to the leaves, (no, node, digest). A node's digest is
     made of those of its children, a leaf's of the hashes of its rows."""
     mask = F.lit((1 << 40) - 1).cast("bigint")
-    row = [F.sum(F.xxhash64("k", "v", F.lit(s)).bitwiseAND(mask)) for s in (1, 2, 3)]
-    trees = [live.groupBy("no", F.col("leaf").alias("node")).agg(F.concat_ws("-", *row, F.count(F.lit(1))).alias("digest"))]
+    row = [F.sum(F.xxhash64(F.lit(s), "k", "v").bitwiseAND(mask)) for s in (1, 2, 3)]
+    leaves = live.groupBy("no", F.col("leaf").alias("node")).agg(F.concat_ws("-", *row, F.count(F.lit(1))).alias("digest"))
+    trees = [materialize(leaves)]  # every level is read from the leaves, the rows only once
     for _ in range(levels):
         up = trees[0].groupBy("no", F.shiftright("node", 4).alias("node"))
         trees.insert(0, up.agg(F.md5(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", F.col("node"), F.col("digest")))))).alias("digest")))
