@@ -11,6 +11,7 @@ from halyard.config import DEPTH, NODES, SUMMARY_EDGES
 from halyard.errors import invalid
 from halyard.semantic.model import RELATIONS
 from halyard.semantic.search import live
+from halyard.session import materialize
 
 DIRECTIONS = ("out", "in", "both")
 
@@ -68,14 +69,17 @@ def traverse(relations: DataFrame, start: str, relation: str, direction: str = "
 
 def walk_levels(edges: DataFrame, roots: DataFrame, direction: str = "out", max_depth: int = DEPTH) -> DataFrame:
     """(root, node, depth) of all nodes within `max_depth` steps of each root, each
-    at its least depth: the traversal of many starts at once, level by level.
-    edges: src_fqn, dst_fqn, meta; roots: root."""
+    at its least depth: the traversal of many starts at once, level by level. Each
+    level is written, so that no level is computed twice, and the walk ends with the
+    first that is empty. edges: src_fqn, dst_fqn, meta; roots: root."""
     way = steps(edges, direction).select("at", "to").distinct()
     level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
     seen = level
     for n in range(1, max_depth + 1):
         nxt = level.join(way, level["node"] == way["at"]).select("root", F.col("to").alias("node")).distinct()
-        level = nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(n))
+        level = materialize(nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(n)))
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
     return seen
 
