@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halyard.session import ship_package
+
 #: Every non-negative bigint is in the universe.
 LEVELS = 63
 #: Values that a task gathers before it folds them into its digests.
@@ -215,6 +217,7 @@ def _fold_groups(n_keys: int, k: int, last: Callable[[list[pa.Array], list[np.nd
 
 def _merge(nodes: DataFrame, names: Sequence[str], k: int) -> DataFrame:
     """Merged and compressed digests of the groups given by names."""
+    ship_package(nodes.sparkSession)
     keys = [f.name for f in nodes.schema if f.name in names]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema if f.name in names) + ", " + NODE
 
@@ -234,6 +237,7 @@ def digests(df: DataFrame, keys: dict[str, Column], values: Column, label: str,
     in two steps where more than FAN_IN tasks could have part in a group, so that
     no task merges more than FAN_IN digests of bounded size.
     """
+    ship_package(df.sparkSession)
     k = compression(error)
     src = df.select(*(c.alias(n) for n, c in keys.items()), values.alias("__m")).where("__m IS NOT NULL")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__m")
@@ -253,6 +257,7 @@ def merge_digests(nodes: DataFrame, by: Sequence[str], error: float = 0.01) -> D
 def percentiles(nodes: DataFrame, by: Sequence[str], qs: dict[str, float], error: float = 0.01) -> DataFrame:
     """by..., n_values and one bigint for each name in qs, of digests combined to
     the groups `by`. The rank of each lies within `error` of the wanted one."""
+    ship_package(nodes.sparkSession)
     k = compression(error)
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
     schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in by), "n_values bigint", *(f"`{n}` bigint" for n in qs)])

@@ -109,13 +109,13 @@ SELECT node, CAST(depth AS INT) AS depth FROM walk""",
     "cube_levels": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
     "rank_frames": """
-SELECT n_nationkey, rank() OVER w AS r, dense_rank() OVER w AS dr, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn,
+SELECT n_nationkey, CAST(rank() OVER w AS INT) AS r, CAST(dense_rank() OVER w AS INT) AS dr, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS rn,
   CAST(ntile(3) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS third,
   first_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS first_name,
   CAST(sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS near
 FROM nation WINDOW w AS (ORDER BY n_regionkey)""",
     "top_per_group": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r <= 2",
-    "values_and_functions": "SELECT a, upper(b) AS u, length(b) AS n, md5(b) AS h, coalesce(nullif(b, ''), 'none') AS c FROM (VALUES (1, 'x'), (2, ''), (3, 'yz')) AS v(a, b)",
+    "values_and_functions": "SELECT a, upper(b) AS u, CAST(length(b) AS INT) AS n, md5(b) AS h, coalesce(nullif(b, ''), 'none') AS c FROM (VALUES (1, 'x'), (2, ''), (3, 'yz')) AS v(a, b)",
     "offset_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 40",
     "mixed_conditions": "SELECT count(*) AS n FROM customer WHERE (c_acctbal BETWEEN 0 AND 5000 OR c_mktsegment ILIKE 'build%') AND c_name NOT LIKE '%9' AND c_nationkey IS NOT NULL",
     "union_of_aggregates": f"SELECT 'orders' AS kind, count(*) AS n, {_MONEY.format('o_totalprice')} AS total FROM orders UNION ALL SELECT 'lineitem', count(*), {_MONEY.format('l_extendedprice')} FROM lineitem",

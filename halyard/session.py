@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -69,14 +69,20 @@ def size_estimate(df: DataFrame) -> int:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors of a cluster this package, once per application."""
+    """Give the executors of a cluster this package, once per application: operators
+    with Python code call it. The archive lies in the shared folder."""
     sc = spark.sparkContext
     if is_local(spark) or getattr(sc, "_halyard_shipped", False):
         return
-    here = Path(__file__).resolve().parent
-    out = os.path.join(tempfile.mkdtemp(prefix="halyard-zip-"), "halyard.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    here, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, f"halyard/{p.relative_to(here)}")
-    sc.addPyFile(out)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/halyard/{uuid.uuid4().hex}/halyard.zip")
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(data.getvalue())
+    finally:
+        out.close()
+    sc.addPyFile(at.toString())
     sc._halyard_shipped = True
