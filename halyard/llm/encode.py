@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from halyard.functions.keys import col
 from halyard.llm.automaton import Automaton, compile_file
+from halyard.session import ship_package
 
 #: Folder of the public vocabulary files, unless a path is given.
 VOCABULARIES = os.environ.get("HALYARD_VOCABULARIES", "/opt/tokenizers")
@@ -23,6 +24,7 @@ def vocabulary(name: str = "byte_bpe_50k") -> str:
 def _sent(spark: SparkSession, path: str):
     """The compiled automaton of a vocabulary file as a broadcast, once per
     application. Its size is that of the vocabulary (some MB), not of the data."""
+    ship_package(spark)
     sc = spark.sparkContext
     known = sc.__dict__.setdefault("_halyard_automata", {})
     if path not in known:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from halyard.functions.keys import col
 from halyard.llm.windows import MOST_WIDTH, SLICE, TOP, Counts, Roller, Sketch, Slice, add_packed, slices, width_for
 from halyard.operators import bloom
-from halyard.session import materialize, size_estimate
+from halyard.session import materialize, ship_package, size_estimate
 
 #: Classes of copies that are broadcast at most; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
@@ -232,6 +232,7 @@ class SharedSpans:
     def __init__(self, docs: DataFrame, length: int = 150, doc_id: str = "doc_id", text: str = "text", width: int | None = None, exact_counts: bool | None = None):
         if length < 16 or length > 900:
             raise ValueError("length must be from 16 to 900")
+        ship_package(docs.sparkSession)
         self.length, self.spark = length, docs.sparkSession
         rows = docs.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.char_length("text") >= length))
         self.keyed = rows.withColumn("key", F.unhex(F.sha2("text", 256)))
