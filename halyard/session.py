@@ -56,6 +56,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     with several readers doesn't compute its input several times."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/halyard/{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_halyard_written", []).append(path)
     w = df.write.mode("error")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -63,6 +64,16 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables written so far; results made of them can't be
+    read afterwards. Gives their number."""
+    written = spark.sparkContext.__dict__.pop("_halyard_written", [])
+    for path in written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(written)
+
+
 def size_estimate(df: DataFrame) -> int:
     """Catalyst's estimate in bytes of what df reads or makes; runs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

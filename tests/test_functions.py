@@ -38,3 +38,12 @@ def test_keys(spark):
     df = spark.createDataFrame([(" AbC ", -1, dt.datetime(1969, 12, 31, 23, 59, 59, tzinfo=dt.timezone.utc)), (None, 7, None), ("\tx", 0, dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc))], "`a.b c` string, n bigint, t timestamp")
     rows = df.select(norm_key(col("a.b c")).alias("k"), floor_div(F.col("n"), 5).alias("q"), utc_day(F.col("t")).alias("d")).collect()
     assert [tuple(r) for r in rows] == [("abc", -1, dt.date(1969, 12, 31)), (None, 1, None), ("\tx", 0, dt.date(2026, 1, 1))]
+
+
+def test_written_tables_are_released(spark):
+    from halyard.session import materialize, release, shared_dir
+
+    release(spark)
+    df = materialize(spark.range(10).withColumn("x", F.lit("a")))
+    assert df.count() == 10 and df.inputFiles()[0].startswith(f"file://{shared_dir(spark)}/halyard/")
+    assert release(spark) == 1 and release(spark) == 0
