@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import DATA
@@ -67,13 +69,29 @@ def test_against_brute_force(spark, seed, length):
         assert chars == cover
 
 
-def test_narrow_sketch_loses_nothing(spark, monkeypatch):
-    texts = corpus(5, 30)
-    monkeypatch.setattr(W.Sketch, "estimate", lambda self, keys: np.full(len(keys), 7, np.uint8))
-    pairs, _ = brute(texts, 30)
-    few = [t for t in texts if t[0] < 12]
-    assert run(spark, few, 30, cover=False)[0] == brute(few, 30)[0]
-    assert pairs
+@pytest.mark.parametrize("estimate", [7, W.TOP])
+def test_full_sketch_loses_nothing(estimate):
+    """A sketch too small for its anchors estimates all as repeated, or as frequent."""
+    rnd = random.Random(9)
+    word = lambda k: "".join(rnd.choice("abcdefgh") for _ in range(k))
+    bits = [word(n) for n in (29, 30, 31, 45, 90)]
+    texts = [(i, word(rnd.randint(0, 40)) + rnd.choice(bits) + word(rnd.randint(0, 20)) + rnd.choice(bits)[rnd.choice([0, 0, 1]) :]) for i in range(12)]
+    full = W.Sketch(W.LEAST_WIDTH, np.full((W.ROWS, W.LEAST_WIDTH), estimate, np.uint8))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts]), pa.array([t for _, t in texts])], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(list(S._repeated(30, SimpleNamespace(value=full), False)(iter([batch])))).to_pylist()
+    found = set()
+    if estimate < W.TOP:
+        rows = sorted((r for r in rows if r["around"] is not None), key=lambda r: r["h"])
+        cut = pa.Table.from_pylist([{k: r[k] for k in ("h", "doc", "before", "around")} for r in rows], schema=pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("before", pa.int32()), ("around", pa.string())]))
+        for part in S._pairs(30)(iter(cut.to_batches(max_chunksize=17))):
+            found |= set(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+    else:
+        at = defaultdict(set)
+        for r in rows:
+            assert r["around"] is None
+            at[r["h"], r["h2"]].add(r["doc"])
+        found = {(a, b) for ids in at.values() for a in ids for b in ids if a < b}
+    assert found == brute(texts, 30)[0] and found
 
 
 def test_frequent_phrase_makes_no_pairs(spark):
