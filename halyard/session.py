@@ -80,10 +80,11 @@ def size_estimate(df: DataFrame) -> int:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors of a cluster this package, once per application: operators
-    with Python code call it. The archive lies in the shared folder."""
+    """Give the Python workers this package, once per application: operators with
+    Python code call it. Local workers need it too, as the driver's sys.path isn't
+    theirs. The archive lies in the shared folder."""
     sc = spark.sparkContext
-    if is_local(spark) or getattr(sc, "_halyard_shipped", False):
+    if getattr(sc, "_halyard_shipped", False):
         return
     here, data = Path(__file__).resolve().parent, io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
