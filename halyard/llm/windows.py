@@ -1,4 +1,4 @@
-"""Windows of texts chosen by content, and counts of them in count-min sketches.
+"""Windows of texts chosen by content, and count-min sketches that count them.
 
 Of every window of `length` characters one gram of half that length stands for
 it: that with the least hash, the leftmost of equals. It depends on the window's
@@ -9,18 +9,16 @@ every length / 4 characters instead of a window for each.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 #: Characters that are worked on at once; longer texts are cut into overlapping slices.
 SLICE = 1 << 16
-#: Counters stop at 15 and are kept in half a byte.
+#: Counters stop here, and so do counts: more is only known to be many.
 TOP = 15
 ROWS = 3
-BLOCK = 1 << 16
-LEAST_WIDTH, MOST_WIDTH = 1 << 16, 1 << 25
+LEAST_WIDTH = 1 << 10
 
 _U = np.uint64
 _ALL = (1 << 64) - 1
@@ -144,19 +142,19 @@ def slices(texts: Sequence[str | None], length: int, roll: Roller) -> Iterator[S
 
 class Sketch:
     """A count-min sketch with counters up to TOP: an estimate is never below the
-    true count, or is TOP. Sketches of one width are merged by adding counters."""
+    true count, or is TOP. What parts of the data add is summed."""
 
-    def __init__(self, width: int, cells: np.ndarray | None = None):
+    def __init__(self, width: int):
         self.width = width
-        self.cells = np.zeros((ROWS, width), np.uint8) if cells is None else cells
+        self.cells = np.zeros((ROWS, width), np.uint8)
 
     def _at(self, keys: np.ndarray) -> list[np.ndarray]:
         return [((mix(keys + _U(r * 0x9E3779B97F4A7C15 & _ALL))) & _U(self.width - 1)).astype(np.int64) for r in range(ROWS)]
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, times: int = 1) -> None:
         for r, at in enumerate(self._at(keys)):
-            u, n = np.unique(at, return_counts=True)
-            self.cells[r, u] = np.minimum(TOP, self.cells[r, u] + np.minimum(n, TOP))
+            n = np.minimum(np.bincount(at, minlength=self.width), TOP) * min(times, TOP)
+            self.cells[r] = np.minimum(self.cells[r] + n, TOP)
 
     def estimate(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), TOP, np.uint8)
@@ -164,58 +162,8 @@ class Sketch:
             out = np.minimum(out, self.cells[r, at])
         return out
 
-    def blocks(self) -> Iterator[tuple[int, bytes]]:
-        """The blocks that aren't all zero, by number, packed."""
-        flat = self.cells.reshape(-1, BLOCK)
-        for n in np.flatnonzero(flat.any(axis=1)).tolist():
-            yield n, pack(flat[n])
 
-    @classmethod
-    def of_blocks(cls, width: int, blocks: Iterator[tuple[int, bytes]]) -> Sketch:
-        s = cls(width)
-        flat = s.cells.reshape(-1, BLOCK)
-        for n, x in blocks:
-            flat[n] = unpack(x)
-        return s
-
-
-def pack(cells: np.ndarray) -> bytes:
-    return zlib.compress((cells[::2] | cells[1::2] << 4).tobytes(), 1)
-
-
-def unpack(x: bytes) -> np.ndarray:
-    b = np.frombuffer(zlib.decompress(x), np.uint8)
-    out = np.empty(2 * len(b), np.uint8)
-    out[::2], out[1::2] = b & 15, b >> 4
-    return out
-
-
-def add_packed(xs: Sequence[bytes]) -> bytes:
-    """The sum of packed blocks."""
-    total = np.zeros(BLOCK, np.uint8)
-    for x in xs:
-        total = np.minimum(TOP, total + unpack(x))
-    return pack(total)
-
-
-def width_for(text_bytes: int, length: int) -> int:
-    """Counters for texts that take so many bytes in their files, at least
-    LEAST_WIDTH. A byte there is about two characters; so a row of counters has two
-    to four times as many as there are anchors, and about one in fifty anchors
-    passes by chance. More than MOST_WIDTH can't be sent to every task."""
-    want = max(1, 16 * text_bytes // length)
-    return max(LEAST_WIDTH, 1 << (want - 1).bit_length())
-
-
-class Counts:
-    """Known counts of some keys, 1 for all others: the sketch's estimates, but exact."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.counts = keys[order], counts[order]
-
-    def estimate(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.ones(len(keys), np.uint8)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 1).astype(np.uint8)
+def width_for(keys: int) -> int:
+    """Counters of a row, a power of two: two to four for each key, so that one key
+    in fifteen to a hundred passes by chance."""
+    return max(LEAST_WIDTH, 1 << (2 * keys - 1).bit_length() if keys else 0)

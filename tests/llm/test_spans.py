@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
-from types import SimpleNamespace
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +33,19 @@ def brute(texts: list[tuple[int, str | None]], length: int):
 
 def run(spark, texts, length, cover=True, **more):
     df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in texts], "doc_id bigint, text string, key int, h string, around string")
-    s = S.SharedSpans(df, length, **({"width": 1 << 16} | more))
+    s = S.SharedSpans(df, length, **more)
     rows = [(r.doc_a, r.doc_b) for r in s.pairs().collect()]
     assert len(rows) == len(set(rows))
-    return set(rows), {r.doc_id: r.shared_chars for r in s.coverage().collect()} if cover else None
+    if not cover:
+        return set(rows)
+    reps, places = s.found()
+    assert {tuple(r) for r in s._expanded(reps).collect()} == set(rows)
+    others = Counter(x for r in set(rows) for x in r)
+    assert {r.doc_id: r.n_others for r in s.links(reps).collect()} == others
+    chars = {r.doc_id: r.shared_chars for r in s.shared_chars(places).collect()}
+    copies = {r.doc_id for r in s.members.collect()}
+    assert not copies & set(chars)
+    return set(rows), chars | {i: len(t) for i, t in texts if i in copies and t is not None and len(t) >= length}
 
 
 def corpus(seed: int, length: int, n: int = 120):
@@ -62,36 +70,49 @@ def corpus(seed: int, length: int, n: int = 120):
 @pytest.mark.parametrize("seed,length", [(1, 30), (2, 30), (3, 41), (4, 16)])
 def test_against_brute_force(spark, seed, length):
     texts = corpus(seed, length)
-    pairs, cover = brute(texts, length)
-    for exact in (False, True):
-        got, chars = run(spark, texts, length, exact_counts=exact)
-        assert got == pairs
-        assert chars == cover
+    want = brute(texts, length)
+    # hashes of the sketch far below the anchors, ranges of all sizes, and what parts know of frequent anchors
+    for more in ({}, {"width": 8}, {"width": 64, "ranges": 1}, {"ranges": 37}):
+        got = run(spark, texts, length, **more)
+        assert got[0] == want[0], more
+        assert got[1] == want[1], more
 
 
-@pytest.mark.parametrize("estimate", [7, W.TOP])
-def test_full_sketch_loses_nothing(estimate):
-    """A sketch too small for its anchors estimates all as repeated, or as frequent."""
+def anchors_of(texts, length, send_at, monkeypatch):
+    monkeypatch.setattr(S, "SEND_AT", send_at)
+    parts = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([t for _, t in some])], names=["doc_id", "text"]) for some in (texts[::2], texts[1::2])]
+    return [r for p in parts for r in pa.Table.from_batches(list(S._anchors(length)(iter([p])))).to_pylist()]
+
+
+@pytest.mark.parametrize("width", [1, 16, 1 << 16])
+@pytest.mark.parametrize("send_at", [50, 1 << 17])
+def test_ranges_lose_no_repeated_anchor(width, send_at, monkeypatch):
+    """Whatever the sketch's width, what comes out is what several texts have."""
     rnd = random.Random(9)
     word = lambda k: "".join(rnd.choice("abcdefgh") for _ in range(k))
     bits = [word(n) for n in (29, 30, 31, 45, 90)]
-    texts = [(i, word(rnd.randint(0, 40)) + rnd.choice(bits) + word(rnd.randint(0, 20)) + rnd.choice(bits)[rnd.choice([0, 0, 1]) :]) for i in range(12)]
-    full = W.Sketch(W.LEAST_WIDTH, np.full((W.ROWS, W.LEAST_WIDTH), estimate, np.uint8))
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts]), pa.array([t for _, t in texts])], names=["doc_id", "text"])
-    rows = pa.Table.from_batches(list(S._repeated(30, SimpleNamespace(value=full), False)(iter([batch])))).to_pylist()
-    found = set()
-    if estimate < W.TOP:
-        rows = sorted((r for r in rows if r["around"] is not None), key=lambda r: r["h"])
-        cut = pa.Table.from_pylist([{k: r[k] for k in ("h", "doc", "before", "around")} for r in rows], schema=pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("before", pa.int32()), ("around", pa.string())]))
-        for part in S._pairs(30)(iter(cut.to_batches(max_chunksize=17))):
-            found |= set(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
-    else:
-        at = defaultdict(set)
-        for r in rows:
-            assert r["around"] is None
-            at[r["h"], r["h2"]].add(r["doc"])
-        found = {(a, b) for ids in at.values() for a in ids for b in ids if a < b}
-    assert found == brute(texts, 30)[0] and found
+    texts = [(i, word(rnd.randint(0, 40)) + rnd.choice(bits) + word(rnd.randint(0, 20)) + rnd.choice(bits)[rnd.choice([0, 0, 1]) :]) for i in range(60)]
+    sent = anchors_of(texts, 30, send_at, monkeypatch)
+    real = [r for r in sent if r["pos"] >= 0]
+    docs, n = defaultdict(set), Counter(r["h"] for r in real)
+    for r in real:
+        docs[r["h"]].add(r["doc"])
+    out = []
+    for part in range(3):  # as the shuffle does
+        mine = [r for r in sent if (r["h"] if r["n"] == 1 or r["pos"] < 0 else r["doc"]) % 3 == part]
+        if mine:
+            batches = pa.Table.from_pylist(mine, schema=pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])).to_batches(max_chunksize=19)
+            out += pa.Table.from_batches(list(S._repeated(width)(iter(batches)))).to_pylist()
+    got = Counter((r["h"], r["doc"], r["pos"]) for r in out)
+    assert got == Counter((r["h"], r["doc"], r["pos"]) for r in real if len(docs[r["h"]]) > 1)
+    assert all(r["n"] == min(W.TOP, n[r["h"]]) for r in out) and any(r["n"] == W.TOP for r in out) and any(r["n"] < W.TOP for r in out)
+
+
+def test_frequent_anchor_is_told_once(monkeypatch):
+    """A passage in all texts: its range gets few rows, the others are spread."""
+    texts = [(i, "".join(chr(97 + (n * n * 7) % 23) for n in range(60))) for i in range(4000)]
+    sent = anchors_of(texts, 30, 1000, monkeypatch)
+    assert sum(r["n"] == 1 for r in sent) < 200 and sum(r["pos"] < 0 for r in sent) < 200 and len(sent) > 8000
 
 
 def test_frequent_phrase_makes_no_pairs(spark):
@@ -100,8 +121,19 @@ def test_frequent_phrase_makes_no_pairs(spark):
     word = lambda k: "".join(rnd.choice("abcdefghijklmnop") for _ in range(k))
     phrase, passage = word(25), word(80)
     texts = [(i, word(60) + phrase + word(60) + (passage if i % 4 == 0 else "") + word(20)) for i in range(200)]
-    for exact in (False, True):
-        assert run(spark, texts, 30, exact_counts=exact)[0] == brute(texts, 30)[0]
+    assert run(spark, texts, 30) == brute(texts, 30)
+    reps = S.SharedSpans(spark.createDataFrame(texts, "doc_id bigint, text string"), 30)
+    assert reps._near(False).count() < 100
+
+
+def test_many_copies(spark):
+    """A third of all texts is one text, and another passage is in all the rest."""
+    rnd = random.Random(11)
+    word = lambda k: "".join(rnd.choice("abcdefghijklmnop") for _ in range(k))
+    copy, passage = word(70), word(40)
+    texts = [(i, copy if i % 3 == 0 else word(30) + passage + word(20) if i % 3 == 1 else word(80)) for i in range(150)]
+    texts += [(200 + i, t) for i, t in texts[:3]]
+    assert run(spark, texts, 30) == brute(texts, 30)
 
 
 def test_odd_cases(spark):
@@ -109,8 +141,11 @@ def test_odd_cases(spark):
     texts = [(1, None), (2, ""), (3, " " * 20), (4, long), (4, long), (5, "x" + long), (None, long), (6, long[:29]), (7, long[100:130]), (8, "-" * 5000), (9, "-" * 31 + "z")]
     pairs, cover = brute(texts, 30)
     assert run(spark, texts, 30) == (pairs, cover)
-    assert run(spark, texts, 30, exact_counts=True) == (pairs, cover)
-    assert run(spark, [], 30) == run(spark, [], 30, exact_counts=True) == (set(), {})
+    assert run(spark, texts, 30, width=2, ranges=2) == (pairs, cover)
+    assert run(spark, [], 30) == (set(), {})
+    # of several texts under one id one counts, with its own pairs
+    both = [(1, long), (1, "y" * 40), (2, long), (3, "y" * 50), (3, "y" * 50)]
+    assert run(spark, both, 30)[0] in ({(1, 2)}, {(1, 3)})
     assert run(spark, [(1, "a" * 100)], 30) == (set(), {})
     with pytest.raises(ValueError):
         S.SharedSpans(spark.createDataFrame([], "doc_id bigint, text string"), 8)
@@ -121,23 +156,19 @@ def test_very_long_texts(spark):
     a = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(3 * W.SLICE))
     cuts = [W.SLICE - 40, 2 * W.SLICE - 149, W.SLICE // 2]
     texts = [(1, a)] + [(n + 2, "q" * 10 + a[c : c + 150] + "q" * 10) for n, c in enumerate(cuts)] + [(9, a[7 : 7 + 149])]
-    assert run(spark, texts, 150, cover=False)[0] == {(1, 2), (1, 3), (1, 4)}
+    assert run(spark, texts, 150)[0] == {(1, 2), (1, 3), (1, 4)}
 
 
 def test_sketch_is_never_too_low():
     rnd = np.random.default_rng(8)
     keys = rnd.integers(0, 3000, 20_000).astype(np.uint64)
-    parts = [W.Sketch(1 << 16) for _ in range(3)]
-    for s, k in zip(parts, np.array_split(keys, 3)):
-        s.add(k)
-    blocks = defaultdict(list)
-    for s in parts:
-        for n, x in s.blocks():
-            blocks[n].append(x)
-    total = W.Sketch.of_blocks(1 << 16, ((n, W.add_packed(x)) for n, x in blocks.items()))
     u, n = np.unique(keys, return_counts=True)
-    assert (total.estimate(u) >= np.minimum(n, W.TOP)).all()
-    assert W.width_for(0, 150) == W.LEAST_WIDTH and W.width_for(1 << 50, 150) > W.MOST_WIDTH
+    for width in (1, 1 << 8, 1 << 16):
+        sketch = W.Sketch(width)
+        for part in np.array_split(keys, 3):
+            sketch.add(part)
+        assert (sketch.estimate(u) >= np.minimum(n, W.TOP)).all()
+    assert W.width_for(0) == W.LEAST_WIDTH and W.width_for(1 << 20) == 1 << 21
 
 
 def test_queries(spark):
