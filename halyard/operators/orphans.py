@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.keys import col, norm_key
-from halyard.operators import bloom
+from halyard.operators.bloom import Filter
 from halyard.session import materialize
 
 #: A key's references are spread over so many groups in the exact join, and its
@@ -41,9 +41,10 @@ def orphan_references(
     for which `parent_ok` isn't true don't exist here. A null mark means not
     deleted, a null time is never late.
 
-    A Bloom filter of the parents' keys, of checked size, is given to the scan
-    of the references: what it doesn't hold is missing for certain and takes no
-    part in a join. Only what it holds is joined exactly, in salted groups.
+    The references are read once, reduced to one row each and written with what a
+    Bloom filter of the parents' keys, of bounded size, says of them: what it doesn't
+    hold is missing for certain and takes no part in a join. Only what it holds is
+    joined exactly, in salted groups.
 
     References with a null key are none. Rows equal in `ref_id` are one
     reference, of which the row with the earliest time (null last), then the
@@ -53,12 +54,12 @@ def orphan_references(
     ok = F.lit(True) if parent_ok is None else F.coalesce(parent_ok, F.lit(False))
     known = newest(parents, norm_key(col(parent_key)), col(parent_updated), ok=ok, gone=F.coalesce(col(parent_deleted), F.lit(False)), born=col(parent_created))
     known = materialize(known.where("ok").select("k", "gone", "born"))
-    bits = bloom.bits_for(known.count())
+    keys = Filter(known, "k")
 
     one = refs.select(col(ref_id).alias("id"), norm_key(col(ref_key)).alias("k"), col(ref_at).alias("at")).where("k IS NOT NULL")
-    once = one.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(F.col("at").isNull().alias("n"), "at", "k")).alias("s")).select("id", "s.k", "s.at")
-    one = once.unionByName(one.where("id IS NULL"))
-    seen = one.withColumn("maybe", bloom.might_contain(bloom.build(known, F.col("k"), bits), F.col("k"), bits))
+    one = one.withColumn("u", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    once = one.groupBy("id", "u").agg(F.min(F.struct(F.col("at").isNull().alias("n"), "at", "k")).alias("s")).select("id", "s.k", "s.at")
+    seen = materialize(once.withColumn("maybe", keys.holds("k")), "maybe")
 
     certain = seen.where("NOT maybe").select("id", "k", "at", F.lit("missing").alias("reason"))
     salted = seen.where("maybe").withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(SALT)).cast("int"))

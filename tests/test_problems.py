@@ -9,6 +9,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from conftest import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from halyard.operators.orphans import orphan_references, orphans_per_period
 from halyard.operators.sessions import session_kinds, sessions
 from halyard.operators.snapshots import snapshot_changes, tree_levels
 from halyard.operators.trailing import trailing_totals
+from halyard.plans import problems
 
 UTC = dt.timezone.utc
 T0 = dt.datetime(2026, 1, 1, tzinfo=UTC)
@@ -250,14 +252,22 @@ def test_hot_parent(spark):
 
 def test_bloom_loses_nothing(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id")).alias("k"))
-    for bits in (1 << 12, bloom.bits_for(5000)):
-        f = bloom.build(keys, F.col("k"), bits)
-        assert keys.where(~bloom.might_contain(f, F.col("k"), bits)).count() == 0
-        other = spark.range(5000).select(F.concat(F.lit("x"), F.col("id")).alias("k"))
-        n = other.where(bloom.might_contain(f, F.col("k"), bits)).count()
-        assert bits == 1 << 12 or n < 250
-    none = bloom.build(keys.where("false"), F.col("k"), 1 << 12)
-    assert keys.where(bloom.might_contain(none, F.col("k"), 1 << 12)).count() == 0
+    other = spark.range(5000).select(F.concat(F.lit("x"), F.col("id")).alias("k"))
+    for bits, most in ((1 << 12, 5000), (1 << 15, 1500), (None, 250)):
+        f = bloom.Filter(keys.unionByName(keys.select(F.lit(None).cast("string").alias("k"))), "k", bits)
+        assert f.keys == 5000 and keys.where(~f.holds("k")).count() == 0
+        assert other.where(f.holds("k")).count() <= most
+        assert other.select(F.lit(None).cast("string").alias("k")).where(f.holds("k")).count() == 0
+    none = bloom.Filter(keys.where("false"), "k")
+    assert keys.where(none.holds("k")).count() == 0
+    assert bloom.bits_for(1 << 40) == bloom.MOST_BITS
+    assert [bloom.probes_for(1000, bits) for bits in (1000, 3000, 12_000, 1 << 20)] == [1, 2, 4, 4]
+
+
+def test_orphans_read_references_once(spark):
+    """The result is read from what one pass over the references has written."""
+    df = problems.p4_found(spark, DATA)
+    assert df.count() > 0 and not any("dgw_table_grants" in f for f in df.inputFiles())
 
 
 # 5. snapshots
