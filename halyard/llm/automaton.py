@@ -8,13 +8,18 @@ arc b there is now an arc c to where that arc b led. Afterwards a sequence of
 tokens is a path if and only if it is the encoding of the bytes it spells.
 
 Arcs with the same label always lead to the same state, so a state is known by
-the token just read. A copied state shares its arcs with the one it was copied
-from; stored are only the arc taken away by each gadget and its time. Whether a
-token may follow another is read from these tables, from the latest gadget back.
+the token just read. What a gadget does to the whole automaton is one rectangle:
+it takes the arc b, and with it those that came from it by later merges (tokens
+that begin with b up to then), from the state a and from those that were copied
+from it by later merges (tokens that end with a up to then). Where tokens are
+numbered in preorder of the trees of their left parts, later merges first, the
+labels are an interval, and so are the states in the trees of right parts. The
+compiled table has, for each state, the intervals of labels without an arc; states
+with equal intervals share a row. A transition is one lookup in it.
 
 An encoding is found in one pass over a word: for each prefix, the last token is
 the longest token ending there (an automaton of suffixes gives them, longest
-first) that may follow the last token of what is before it. There is exactly one.
+first) that has an arc from the state of what is before it. There is exactly one.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import numpy as np
 
 #: The pattern that splits texts into words, of the public byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bits of a token's number in the keys of the table.
 SHIFT = 20
 
 
@@ -53,34 +59,125 @@ def read_merges(path: str) -> tuple[list[bytes | None], list[tuple[int, int, int
     return tokens, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
 
 
+class _Tree:
+    """Tokens under the part that they were merged from, later merges first."""
+
+    def __init__(self, n: int):
+        self.under: list[list[int]] = [[] for _ in range(n)]
+        self.time = [-1] * n
+
+    def add(self, token: int, part: int, time: int) -> None:
+        self.under[part].append(token)
+        self.time[token] = time
+
+    def number(self) -> None:
+        """Preorder: `order` of tokens, `place` of each and the end of what is under it."""
+        n = len(self.under)
+        self.order: list[int] = []
+        self.place, self.end = np.zeros(n, np.int64), [0] * n
+        todo = [t for t in range(n - 1, -1, -1) if self.time[t] < 0]
+        while todo:
+            t = todo.pop()
+            if t < 0:
+                self.end[~t] = len(self.order)
+                continue
+            self.place[t] = len(self.order)
+            self.order.append(t)
+            todo.append(~t)
+            todo += self.under[t]  # in order of time; the last comes first
+
+    def since(self, token: int, time: int) -> tuple[int, int]:
+        """The places of a token and of what was merged from it at that time or later."""
+        at = int(self.place[token])
+        end = at + 1
+        for c in reversed(self.under[token]):
+            if self.time[c] < time:
+                break
+            end = self.end[c]
+        return at, end
+
+
 class Automaton:
     """The compiled tables: small arrays, made once and sent to every task."""
 
     def __init__(self, tokens: Sequence[bytes | None], merges: Iterable[tuple[int, int, int]]):
         n = len(tokens)
-        self.left, self.right = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
-        self.time = np.full(n, -1, np.int32)
-        removed: dict[int, int] = {}
-        for k, (a, b, c) in enumerate(merges):
-            removed[a << SHIFT | b] = k
-            self.left[c], self.right[c], self.time[c] = a, b, k
-        self.removed = np.array(sorted(removed), np.int64)
-        self.removed_at = np.array([removed[x] for x in self.removed.tolist()], np.int32)
+        if n >= 1 << SHIFT:
+            raise ValueError("a vocabulary may have at most 2**20 - 1 tokens")
         self.n_bytes = np.array([len(t or b"") for t in tokens], np.int32)
         self.label_at = np.r_[0, np.cumsum(self.n_bytes)].astype(np.int64)
         self.labels = np.frombuffer(b"".join(t or b"" for t in tokens), np.uint8)
-        self._suffixes([t if ok else None for t, ok in zip(tokens, self._spelt())])
+        merges = list(merges)
+        self._arcs(n, merges)
+        self._suffixes([t if ok else None for t, ok in zip(tokens, self._spelt(n, merges))])
         self._ready = None
 
-    def _spelt(self) -> np.ndarray:
+    def _arcs(self, n: int, merges: list[tuple[int, int, int]]) -> None:
+        """The table: of each token its row and its place among the labels, and of all
+        rows the intervals of labels without an arc, as sorted keys."""
+        starts, ends = _Tree(n), _Tree(n)  # by left and by right part
+        for k, (a, b, c) in enumerate(merges):
+            starts.add(c, a, k)
+            ends.add(c, b, k)
+        starts.number()
+        ends.number()
+        # the gadget's own token c has no part in it: in the tree of left parts it counts as
+        # earlier than itself, since in a row of merges of one time the leftmost is made first
+        states = np.array([ends.since(a, k + 1) for k, (a, _, _) in enumerate(merges)], np.int64).reshape(-1, 2)
+        labels = np.array([starts.since(b, k) for k, (_, b, _) in enumerate(merges)], np.int64).reshape(-1, 2)
+        # the intervals of all states at once, in order of state and begin; those that touch are made one
+        n_of = states[:, 1] - states[:, 0]
+        state = np.repeat(states[:, 0] - np.r_[0, np.cumsum(n_of)[:-1]], n_of) + np.arange(n_of.sum())
+        gaps = np.repeat(labels, n_of, axis=0) + (state << SHIFT)[:, None]
+        gaps = gaps[np.argsort(gaps[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(gaps[:, 1])
+        new = np.flatnonzero(np.r_[True, gaps[1:, 0] > reach[:-1]]) if len(gaps) else np.empty(0, np.int64)
+        lo, hi = gaps[new, 0], reach[np.r_[new[1:], len(gaps)] - 1] if len(gaps) else new
+        cut = np.searchsorted(lo, np.arange(len(ends.order) + 1) << SHIFT)
+        inside = np.c_[lo, hi] & ((1 << SHIFT) - 1)
+        rows: dict[bytes, int] = {}
+        kept: list[np.ndarray] = []
+        self.row = np.zeros(n, np.int32)
+        for token, x, z in zip(ends.order, cut[:-1].tolist(), cut[1:].tolist()):
+            row = inside[x:z]
+            no = rows.setdefault(row.tobytes(), len(rows))
+            if no == len(kept):
+                kept.append(row + (no << SHIFT))
+            self.row[token] = no
+        table = np.concatenate(kept) if kept else inside
+        self.no_arc, self.until = table[:, 0].copy(), table[:, 1].copy()
+        self.place = starts.place.astype(np.int32)
+
+    def has_arc(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether token b may come after token a, for arrays of tokens: one lookup each."""
+        key = (self.row[a].astype(np.int64) << SHIFT) + self.place[b]
+        if not len(self.no_arc):
+            return np.ones(len(key), bool)
+        at = np.searchsorted(self.no_arc, key, side="right") - 1
+        return (at < 0) | (key >= self.until[at])
+
+    def _spelt(self, n: int, merges: list[tuple[int, int, int]]) -> list[bool]:
         """Which tokens are the encoding of their own bytes. Of trained vocabularies
-        all are; others, whose bytes earlier merges pull apart, are never made."""
-        made = np.flatnonzero(self.time >= 0)
-        made = made[np.argsort(self.time[made])]
-        joint = self.follows(self.left[made], self.right[made], self.time[made])
-        ok = np.ones(len(self.time), bool)
-        for c, fine in zip(made.tolist(), joint.tolist()):
-            ok[c] = fine and ok[self.left[c]] and ok[self.right[c]]
+        all are; others, whose bytes earlier merges pull apart, are never made: those
+        between whose parts an earlier gadget has taken the arc."""
+        first: dict[tuple[int, int], int] = {}
+        part: dict[int, tuple[int, int, int]] = {}
+        ok = [True] * n
+        for k, (a, b, c) in enumerate(merges):
+            # the tokens at the seam as they were before time k, from the last on
+            x, y, before, fine = a, b, k, True
+            while fine:
+                fine = first.get((x, y), before) >= before
+                tx, ty = (part[z][2] if z in part else -1 for z in (x, y))
+                if tx < 0 and ty < 0:
+                    break
+                if tx > ty:
+                    x, before = part[x][1], tx
+                else:
+                    y, before = part[y][0], ty + 1
+            ok[c] = fine and ok[a] and ok[b]
+            first.setdefault((a, b), k)
+            part[c] = a, b, k
         return ok
 
     def _suffixes(self, tokens: Sequence[bytes | None]) -> None:
@@ -130,35 +227,12 @@ class Automaton:
             self._ready = Encoder(self)
         return self._ready
 
-    def follows(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
-        """Whether token b may come after token a, for arrays of tokens; with `until`,
-        whether they may before those times."""
-        ok = np.ones(len(a), bool)
-        live = np.arange(len(a))
-        x, y = a.astype(np.int64), b.astype(np.int64)
-        before = np.full(len(a), np.iinfo(np.int32).max, np.int64) if until is None else until.astype(np.int64)
-        while len(live):
-            key = x << SHIFT | y
-            at = np.minimum(np.searchsorted(self.removed, key), len(self.removed) - 1) if len(self.removed) else np.zeros(len(key), int)
-            if len(self.removed):
-                bad = (self.removed[at] == key) & (self.removed_at[at] < before)
-                ok[live[bad]] = False
-            else:
-                bad = np.zeros(len(key), bool)
-            tx, ty = self.time[x], self.time[y]
-            go = ~bad & ((tx >= 0) | (ty >= 0))
-            live, x, y, tx, ty = live[go], x[go], y[go], tx[go], ty[go]
-            first = tx > ty  # the later gadget is undone first; of two of one time the right one
-            before = np.where(first, tx, ty + 1).astype(np.int64)
-            x, y = np.where(first, self.right[x], x).astype(np.int64), np.where(first, y, self.left[y]).astype(np.int64)
-        return ok
-
 
 class Encoder:
     """An automaton with the tables and the cache of words of one process."""
 
-    #: Words that are remembered, pairs that are, and bytes of new words at once.
-    MOST_WORDS, PAIRS, AT_ONCE = 300_000, 1 << 18, 1 << 20
+    #: Words that are remembered, and bytes of new words at once.
+    MOST_WORDS, AT_ONCE = 300_000, 1 << 20
 
     def __init__(self, a: Automaton):
         import regex
@@ -180,8 +254,6 @@ class Encoder:
             own = depth[f] == at if at else f == 0
             self.goto[f[own], x[own]] = t[own]
             depth[t[own]] = at + 1
-        self.pair = np.full(self.PAIRS, -1, np.int64)
-        self.pair_ok = np.zeros(self.PAIRS, bool)
         self.forget()
 
     def forget(self) -> None:
@@ -191,23 +263,6 @@ class Encoder:
         self.n = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.int32)
 
-    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """As the automaton's, remembering pairs."""
-        key = a.astype(np.int64) << SHIFT | b
-        slot = ((key * -7046029254386353131) >> 40) & (self.PAIRS - 1)
-        hit = self.pair[slot] == key
-        ok = self.pair_ok[slot]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            k, back = np.unique(key[miss], return_inverse=True)
-            r = self.a.follows(k >> SHIFT, k & ((1 << SHIFT) - 1))
-            ok[miss] = r[back]
-            s = slot[miss]
-            self.pair[s], self.pair_ok[s] = key[miss], ok[miss]
-            same = self.pair[s] == key[miss]
-            self.pair_ok[s[same]] = ok[miss[same]]
-        return ok
-
     def encode_words(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of tokens, all tokens) of non-empty words, many at once."""
         n_of = np.fromiter(map(len, words), np.int64, len(words))
@@ -246,7 +301,7 @@ class Encoder:
                 inner = np.flatnonzero(~ok)
                 if len(inner):
                     w = todo[inner]
-                    ok[inner] = self.follows(last[start[w] + before[inner]], token[inner])
+                    ok[inner] = a.has_arc(last[start[w] + before[inner]], token[inner])
                 done = todo[ok]
                 last[start[done] + i] = token[ok]
                 todo, token = todo[~ok], a.shorter[token[~ok]]

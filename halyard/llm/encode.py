@@ -32,6 +32,22 @@ def _sent(spark: SparkSession, path: str):
     return known[path]
 
 
+#: Tokens that a batch's column of lists holds, by its offsets.
+MOST_TOKENS = (1 << 31) - 1
+
+
+def list_parts(n: np.ndarray, flat: np.ndarray) -> Iterator[tuple[int, int, pa.ListArray]]:
+    """Lists of n tokens each as (from row, to row, column); one part but for very many tokens."""
+    run = np.r_[0, np.cumsum(n, dtype=np.int64)]
+    a = 0
+    while True:
+        z = max(a + 1, int(np.searchsorted(run, run[a] + MOST_TOKENS, side="right")) - 1) if run[-1] - run[a] > MOST_TOKENS else len(n)
+        yield a, z, pa.ListArray.from_arrays(pa.array((run[a : z + 1] - run[a]).astype(np.int32)), pa.array(flat[run[a] : run[z]]))
+        a = z
+        if a >= len(n):
+            return
+
+
 def _schema(df: DataFrame, name: str, kind: str) -> str:
     return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema[:-1]), f"`{name}` {kind}"])
 
@@ -61,10 +77,8 @@ def _mapped(df: DataFrame, keep: dict[str, Column], text: str, path: str | None,
         enc = a.ready()
         for b in batches:
             n, flat = enc.encode(b.column(b.num_columns - 1).to_pylist(), ids)
-            out = pa.array(n)
-            if ids:
-                out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], names=[*b.schema.names[:-1], name])
+            for x, z, out in list_parts(n, flat) if ids else [(0, len(n), pa.array(n))]:
+                yield pa.RecordBatch.from_arrays([*b.slice(x, z - x).columns[:-1], out], names=[*b.schema.names[:-1], name])
 
     return src.mapInArrow(run, _schema(src, name, "array<int>" if ids else "bigint"))
 

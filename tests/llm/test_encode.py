@@ -70,6 +70,35 @@ def test_any_merges_against_the_plain_algorithm(data):
     cut = np.r_[0, np.cumsum(n)]
     of_byte = {x: i for i, x in enumerate(letters)}
     assert [flat[a:b].tolist() for a, b in zip(cut[:-1], cut[1:])] == [naive(w, merges, of_byte) for w in words]
+    # an arc leads from a token to another if and only if both together are encoded as the two
+    made = [n for n, t in enumerate(tokens) if naive(t, merges, of_byte) == [n]]
+    pairs = np.array([(a, b) for a in made for b in made])
+    assert enc.a.has_arc(pairs[:, 0], pairs[:, 1]).tolist() == [naive(tokens[a] + tokens[b], merges, of_byte) == [a, b] for a, b in pairs.tolist()]
+
+
+def test_table_of_arcs():
+    """Every merge took an arc; rows are shared by states without the same arcs."""
+    from halyard.llm.automaton import Automaton, read_merges
+
+    tokens, merges = read_merges(f"{VOCABULARIES}/byte_bpe_50k.json")
+    m = np.array(merges)
+    assert not AUTOMATON.has_arc(m[:, 0], m[:, 1]).any()
+    assert AUTOMATON.has_arc(m[:, 2], m[:, 2]).mean() > 0.9
+    assert AUTOMATON.row.max() < len(tokens) / 2 and len(AUTOMATON.no_arc) < 10 * len(merges)
+    with pytest.raises(ValueError):
+        Automaton([None] * (1 << 20), [])
+
+
+def test_lists_of_large_batches(monkeypatch):
+    """More tokens than a list column holds come in several batches."""
+    from halyard.llm import encode as E
+
+    monkeypatch.setattr(E, "MOST_TOKENS", 10)
+    n = np.array([3, 0, 8, 9, 1, 0, 12, 2])
+    flat = np.arange(n.sum(), dtype=np.int32)
+    parts = list(E.list_parts(n, flat))
+    assert [x for a, b, part in parts for x in part.to_pylist()] == [flat[e - k : e].tolist() for e, k in zip(np.cumsum(n), n)]
+    assert [(a, b) for a, b, _ in parts] == [(0, 2), (2, 3), (3, 6), (6, 7), (7, 8)] and list(E.list_parts(n[:0], flat[:0]))[0][2].to_pylist() == []
 
 
 @settings(max_examples=200, deadline=None)
