@@ -13,7 +13,8 @@ from halyard.functions.keys import col
 from halyard.llm.encode import count_tokens
 from halyard.session import materialize
 
-#: Tokens of a block, the unit of the schedule.
+#: Tokens of a block, the unit of the schedule, at least; of a mixture that is smaller
+#: than a period of such blocks, less.
 BLOCK_TOKENS = 4096
 #: Parts of a source that running sums are first made over.
 PARTS = 4096
@@ -65,9 +66,16 @@ class Mix:
     leaves its share to the others. The mixture is as large as it can be with
     every share reached and no document used more than max_repeats times, or has
     `total_tokens`; then a source that is too small for its share is used
-    max_repeats times and falls short. Within a source documents come in an order
-    by a hash of their id, and again in the same order for each repeat; the last
-    one begins within the source's quota.
+    max_repeats times and falls short. Whole blocks of equal size leave out less than
+    a token for each block.
+
+    The stream of a source are its documents' tokens, in an order by a hash of their
+    id, and again in the same order for each repeat. It is cut into blocks, and a
+    document that reaches over the end of a block goes on in the source's next one,
+    so that a slot of the schedule has exactly a block of tokens whatever the lengths
+    of the documents. The size of blocks is such that the mixture has whole periods:
+    shares are reached exactly, and no prefix of the mixture has a block more or less
+    of a source than its share. Only the last document of a source may be cut off.
 
     Documents of sources that aren't listed, of a null source and with a null id
     have no part in it, nor have empty and null texts, which have no tokens. A
@@ -77,7 +85,7 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, path: str | None = None):
-        self.block, self.spark = block_tokens, docs.sparkSession
+        self.spark = docs.sparkSession
         listed = targets.select(col("source"), col("target_share").cast("decimal(20,10)").alias("share"), F.coalesce(col("max_repeats"), F.lit(1)).cast("bigint").alias("most")).where("source IS NOT NULL").limit(MOST_SOURCES + 1).collect()
         if len(listed) > MOST_SOURCES or len({r.source for r in listed}) < len(listed):
             raise ValueError("the targets list a source twice, or more sources than MOST_SOURCES")
@@ -95,13 +103,17 @@ class Mix:
         if self.period > MOST_SLOTS:
             raise ValueError("the shares have a period above MOST_SLOTS")
         most = {s: self.tokens[s] * self.targets[s][1] for s in self.used}
-        self.total = total_tokens if total_tokens is not None else min((most[s] * self.period // u for s, u in zip(self.used, self.units)), default=0)
-        #: Tokens that each source has to give.
+        total = total_tokens if total_tokens is not None else min((most[s] * self.period // u for s, u in zip(self.used, self.units)), default=0)
+        periods = max(1, total // (max(1, self.period) * block_tokens))
+        self.block = max(1, total // (max(1, self.period) * periods))
+        self.total = min(total, self.block * self.period * periods)
+        #: Tokens that each source has to give, whole blocks unless it is too small.
         self.quota = {s: min(most[s], self.total * u // self.period) for s, u in zip(self.used, self.units)}
 
     def rows(self) -> DataFrame:
-        """The mixture: slot, source, doc_id, repeat_no (from 1), at_token (of the
-        source's own stream) and n_tokens; to be read in order of slot and at_token."""
+        """The mixture as pieces of documents: slot, source, doc_id, repeat_no (from 1),
+        at_token (place in the source's stream), from_token (place in the document) and
+        n_tokens; to be read in order of slot and at_token."""
         slots = pfair(self.units)
         places: dict[int, list[int]] = {n: [] for n in range(len(self.used))}
         for t, s in enumerate(slots):
@@ -122,17 +134,44 @@ class Mix:
         docs = docs.join(parts, ["source", "part"]).join(F.broadcast(plan_df), "source").withColumn("first", F.col("before") + F.col("run"))
         times = F.when(F.col("first") < F.col("quota"), F.expr("(quota - first - 1) div total + 1")).otherwise(0)
         again = docs.where("first < quota").withColumn("repeat_no", F.explode(F.sequence(F.lit(1).cast("bigint"), times.cast("bigint"))))
-        again = again.withColumn("at_token", F.col("first") + (F.col("repeat_no") - 1) * F.col("total")).withColumn("block", F.expr(f"at_token div {self.block}"))
+        again = again.withColumn("at", F.col("first") + (F.col("repeat_no") - 1) * F.col("total")).withColumn("end", F.least(F.col("at") + F.col("n_tokens"), "quota"))
+        pieces = again.withColumn("block", F.explode(F.expr(f"sequence(at div {self.block}, (end - 1) div {self.block})")))
+        begin = F.greatest("at", F.col("block") * self.block)
+        size = F.least("end", (F.col("block") + 1) * self.block) - begin
         slot = F.expr(f"(block div units) * {max(1, self.period)}") + F.get("places", F.expr("cast(block % units AS int)"))
-        return again.select(slot.alias("slot"), "source", "doc_id", F.col("repeat_no").cast("int").alias("repeat_no"), "at_token", "n_tokens")
+        return pieces.select(slot.alias("slot"), "source", "doc_id", F.col("repeat_no").cast("int").alias("repeat_no"), begin.alias("at_token"), (begin - F.col("at")).alias("from_token"), size.alias("n_tokens"))
 
     def shares(self) -> DataFrame:
-        """One row per listed source: source, target_share, n_docs, n_tokens,
-        quota_tokens, used_tokens, most_uses of a document, reached_share."""
-        used = self.rows().groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), F.max("repeat_no").alias("most_uses"))
-        known = [(s, float(share), self.n_docs.get(s, 0), self.tokens.get(s, 0), self.quota.get(s, 0)) for s, (share, _) in sorted(self.targets.items())]
-        listed = self.spark.createDataFrame(known, "source string, target_share double, n_docs bigint, n_tokens bigint, quota_tokens bigint")
-        zero = F.lit(0)
-        out = listed.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", zero.cast("bigint"))).withColumn("most_uses", F.coalesce("most_uses", zero))
-        total = F.sum("used_tokens").over(Window.partitionBy())
-        return out.withColumn("reached_share", F.when(total > 0, F.col("used_tokens") / total).otherwise(0.0))
+        """One row per listed source: source, target_share, n_docs, n_tokens (that it
+        has), used_tokens, most_uses of a document, reached_share. A source gives
+        exactly its quota, so that no document needs to be placed for this."""
+        used = sum(self.quota.values())
+        known = []
+        for s, (share, _) in sorted(self.targets.items()):
+            q, t = self.quota.get(s, 0), self.tokens.get(s, 0)
+            known.append((s, float(share), self.n_docs.get(s, 0), t, q, -(-q // t) if t else 0, q / used if used else 0.0))
+        return self.spark.createDataFrame(known, "source string, target_share double, n_docs bigint, n_tokens bigint, used_tokens bigint, most_uses bigint, reached_share double")
+
+    def deviation(self, rows: DataFrame) -> DataFrame:
+        """Of the rows of the mixture: source, used_tokens, most_uses, and by how many
+        blocks it is ever ahead of and behind its share, before and after each of its
+        slots. Running sums are made over parts of the slots, then within each part."""
+        slots = materialize(rows.groupBy("slot", "source").agg(F.sum("n_tokens").alias("t"), F.max("repeat_no").alias("uses")))
+        width = max(1, -(-self.total // self.block) // PARTS + 1)
+        slots = slots.withColumn("part", F.expr(f"slot div {width}"))
+        past = (Window.unboundedPreceding, -1)
+
+        def before(by: list[str], name: str) -> DataFrame:
+            """slots with the sum of t before each, among those equal in `by`."""
+            parts = slots.groupBy("part", *by).agg(F.sum("t").alias("t"))
+            earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(*past)  # at most PARTS rows for each source
+            parts = parts.select("part", *by, F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("base"))
+            inside = Window.partitionBy("part", *by).orderBy("slot").rowsBetween(*past)
+            run = slots.select("*", F.coalesce(F.sum("t").over(inside), F.lit(0)).alias("run"))
+            return run.join(parts, ["part", *by]).select("slot", "source", "t", "uses", (F.col("base") + F.col("run")).alias(name))
+
+        both = before([], "all").join(before(["source"], "own").select("slot", "own"), "slot")
+        weight = F.create_map(*(F.lit(x) for s, u in zip(self.used, self.units) for x in (s, u)))[F.col("source")] if self.used else F.lit(0)
+        due = lambda done: done * weight / F.lit(max(1, self.period))
+        ahead, behind = F.col("own") + F.col("t") - due(F.col("all") + F.col("t")), due(F.col("all")) - F.col("own")
+        return both.groupBy("source").agg(F.sum("t").alias("used_tokens"), F.max("uses").alias("most_uses"), (F.max(ahead) / self.block).alias("ahead"), (F.max(behind) / self.block).alias("behind"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.encode import decode_column, encode_column
@@ -35,6 +35,26 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares()
 
 
+def p7_within(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the mixture keeps what it promises, by its own rows: no source is ever a
+    block off, reached shares are the wanted ones, and repeats are within their limit."""
+    mix = _mix(spark, d)
+    targets = table(spark, d, "mix_targets").select("source", "max_repeats", F.col("target_share").cast("double").alias("share"))
+    found = mix.deviation(mix.rows())
+    every = Window.partitionBy()  # one row per source of mix_targets, which doesn't grow
+    rows = targets.join(found, "source", "left").withColumn("used", F.col("used_tokens").isNotNull())
+    wanted = F.col("share") / F.sum(F.when(F.col("used"), F.col("share"))).over(every)
+    reached = F.col("used_tokens") / F.sum("used_tokens").over(every)
+    yes = F.lit(True)
+    return rows.select(
+        "source",
+        "used",
+        F.coalesce((F.col("ahead") < 1) & (F.col("behind") < 1), yes).alias("within_block"),
+        F.coalesce(F.abs(reached - wanted) < 0.0005, yes).alias("share_reached"),
+        F.coalesce(F.col("most_uses") <= F.col("max_repeats"), yes).alias("repeats_kept"),
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(table(spark, d, "documents")).pairs()
 
@@ -63,7 +83,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(table(spark, d, "documents")).classes()
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_spans": p8_spans, "p8_links": p8_links, "p8_classes": p8_classes}
+QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_within": p7_within, "p8_found": p8_found, "p8_spans": p8_spans, "p8_links": p8_links, "p8_classes": p8_classes}
 
 
 #: All windows of 150 characters of all texts, and what texts have one in common.
@@ -84,6 +104,7 @@ others AS (SELECT x AS doc_id, count(*) AS n FROM (SELECT unnest([a, b]) AS x FR
 
 SQL = {
     "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
+    "p7_within": "SELECT source, target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE length(text) > 0) AS used, true AS within_block, true AS share_reached, true AS repeats_kept FROM mix_targets",
     "p8_found": f"WITH {_WINDOWS} SELECT a AS doc_a, b AS doc_b FROM pairs",
     "p8_spans": f"WITH {_WINDOWS}, {_COVERED} SELECT d.doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(c, 0)::BIGINT AS shared_chars, coalesce(n, 0)::BIGINT AS n_others FROM documents d LEFT JOIN chars USING (doc_id) LEFT JOIN others USING (doc_id)",
     "p8_links": f"WITH {_WINDOWS} SELECT a AS doc_a, b AS doc_b FROM pairs JOIN classes x ON x.doc_id = a AND x.class_id = a JOIN classes y ON y.doc_id = b AND y.class_id = b",
