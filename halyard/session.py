@@ -22,11 +22,12 @@ DEFAULTS = {
 
 
 def make_session(name: str = "halyard", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with DEFAULTS, further settings given as spark_sql_x="..."."""
+    """A session with DEFAULTS, further settings given as spark_sql_x="...": "__" stands
+    for an underscore in a setting's name."""
     b = SparkSession.builder.appName(name)
     if master:
         b = b.master(master)
-    for k, v in (DEFAULTS | {k.replace("_", "."): v for k, v in conf.items()}).items():
+    for k, v in (DEFAULTS | {k.replace("__", "\0").replace("_", ".").replace("\0", "_"): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
 
@@ -74,6 +75,12 @@ def release(spark: SparkSession) -> int:
     return len(written)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def size_estimate(df: DataFrame) -> int:
     """Catalyst's estimate in bytes of what df reads or makes; runs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

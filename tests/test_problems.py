@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import random
 from collections import Counter, defaultdict
 from decimal import Decimal
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from halyard.operators import bloom, qdigest
 from halyard.operators.orphans import orphan_references, orphans_per_period
 from halyard.operators.sessions import session_kinds, sessions
-from halyard.operators.snapshots import snapshot_changes, tree_levels
+from halyard.operators.snapshots import Snapshots, snapshot_changes, tree_levels
 from halyard.operators.trailing import trailing_totals
 from halyard.plans import problems
 
@@ -292,14 +293,39 @@ def test_snapshots_against_brute_force(spark):
     live = defaultdict(dict)
     for no, k, v, gone, u in rows:
         key = k.strip(" ").lower()
-        live[no][key] = max(live[no].get(key, (u, bool(gone), v or "")), (u, bool(gone), v or ""))
-    live = {no: {k: x[2] for k, x in d.items() if not x[1]} for no, d in live.items()}
+        row = (u, bool(gone), hashlib.md5((v or "").encode()).digest(), v or "")
+        live[no][key] = max(live[no].get(key, row), row)
+    live = {no: {k: x[3] for k, x in d.items() if not x[1]} for no, d in live.items()}
     want = set()
     for a, b in ((1, 2), (2, 3), (3, 5)):
         want |= {(b, k, "added") for k in live[b].keys() - live[a].keys()} | {(b, k, "removed") for k in live[a].keys() - live[b].keys()}
         want |= {(b, k, "changed") for k in live[a].keys() & live[b].keys() if live[a][k] != live[b][k]}
-    for levels in (1, 3):
-        assert changes(spark, rows, levels=levels) == want
+    for more in ({"levels": 1}, {"levels": 3}, {"levels": 2, "folders": 1}):
+        assert changes(spark, rows, **more) == want
+
+
+def test_snapshots_are_stored_once(spark, tmp_path):
+    """With a store each call reads only deliveries that it hasn't seen."""
+    first = [(n, f"k{i}", f"d{i}", False, at(n)) for n in (1, 2) for i in range(50 + 10 * n)]
+    third = [(3, f"k{i}", f"d{i}" if i != 7 else "x", False, at(3)) for i in range(1, 70)]
+    store = str(tmp_path / "store")
+    want = {(2, f"k{i}", "added") for i in range(60, 70)}
+    assert changes(spark, first, store=store, levels=2) == want
+    want |= {(3, "k0", "removed"), (3, "k7", "changed")}
+    assert changes(spark, third, store=store) == want
+    assert changes(spark, third + [(1, "k0", "other", False, at(9))], store=store) == want
+    assert changes(spark, [], store=store) == want
+
+
+def test_comparison_reads_folders_that_differ(spark):
+    same = [(n, f"k{i}", f"d{i}", False, at(1)) for n in (1, 2) for i in range(400)]
+    df = spark.createDataFrame([(*x, "l", "v", 9) for x in [*same, (2, "new", "x", False, at(1))]], SNAPS)
+    s = Snapshots(df, "snapshot_no", "fqn", "updated_at", "tombstone", "description", levels=2, folders=1)
+    assert [tuple(r) for r in s.changes().collect()] == [(2, "new", "added")]
+    one = s.rows_near(spark.createDataFrame([(2, 16 * 5)], "at bigint, leaf bigint"))
+    assert one.select("no", "top").distinct().collect() == [(2, 5)] and one.collect()
+    files = one._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value()
+    assert 1 <= files <= 4 and len(s.live.inputFiles()) >= 32
 
 
 def test_snapshot_odd_cases(spark):
