@@ -16,6 +16,8 @@ LEAF_BYTES, MOST_LEVELS = 1 << 16, 6
 FOLDER_BYTES, MOST_FOLDER_LEVELS = 1 << 28, 3
 #: Snapshot numbers that are broadcast, and folders that are named to a scan.
 MOST_BROADCAST = 10_000
+#: Differing leaves that are broadcast (about 50 bytes each); more are joined by a shuffle.
+MOST_LEAVES = 1 << 19
 
 LIVE = "no bigint, top bigint, k string, leaf bigint, d binary"
 
@@ -143,7 +145,9 @@ class Snapshots:
         differ = materialize(differing_leaves(digest_tree(self.leaves, self.levels), numbers))
         now = differ.select("no", F.col("no").alias("at"), F.col("node").alias("leaf"))
         both = now.unionByName(differ.join(numbers, "no").select("no", F.col("prev").alias("at"), F.col("node").alias("leaf")))
-        rows = self.rows_near(both).withColumnRenamed("no", "at").join(both, ["at", "leaf"])
+        both = both.groupBy("at", "leaf").agg(F.collect_list("no").alias("nos"))
+        few = F.broadcast(both) if differ.count() <= MOST_LEAVES else both
+        rows = self.rows_near(both).withColumnRenamed("no", "at").join(few, ["at", "leaf"]).select("at", "k", "d", F.explode("nos").alias("no"))
         mine = F.col("at") == F.col("no")
         pair = rows.groupBy("no", "k").agg(F.max(F.when(mine, F.col("d"))).alias("v"), F.max(F.when(~mine, F.col("d"))).alias("w"))
         change = F.when(F.col("w").isNull(), "added").when(F.col("v").isNull(), "removed").when(F.col("v") != F.col("w"), "changed")
