@@ -80,5 +80,5 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 
 def exit_code(findings: DataFrame) -> int:
-    """1 if there is an error, else 0."""
-    return int(not findings.where("severity = 'error'").isEmpty())
+    """2 if there is an error among the findings, else 0; 1 is for what can't be run."""
+    return 0 if findings.where("severity = 'error'").isEmpty() else 2

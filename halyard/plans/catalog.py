@@ -187,18 +187,20 @@ def stale_grants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grants_replace(spark: SparkSession, d: str) -> DataFrame:
-    """Replacing the grants by those for tables that are live now."""
+    """Replacing the grants by those for tables that are live now, and these for one more user."""
     g = _grants(spark, d)
     tables = _now(spark, d).where(f"kind = 'table' AND {_LIVE}").select(F.col("fqn").alias("table_fqn"))
-    _, changes = replacement(g.join(tables, "table_fqn", "left_semi").select("user_id", "table_fqn"), g, F.current_timestamp())
-    return changes.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    kept = g.join(tables, "table_fqn", "left_semi").select("user_id", "table_fqn")
+    new, changes = replacement(kept.unionByName(tables.select(F.lit("new user").alias("user_id"), "table_fqn")), g, F.current_timestamp())
+    same = new.join(changes, ["user_id", "table_fqn"], "left_anti").withColumn("change", F.lit("kept"))
+    return changes.unionByName(same.select(*changes.columns)).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
 def metric_dry_run_exec(spark: SparkSession, d: str) -> DataFrame:
     """A metric's definition expanded to SQL and that SQL run."""
     m = metric_sql("failure_rate", "round(CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) / nullif(count(*), 0), 6)", "value >= 1 OR value < 0.5", ["svc.db.events"], {"svc.db.events": ["svc.db.events.ts"]}, ("2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z"))
     register_views(spark, d, "events")
-    return spark.sql(m.sql.replace("'2024-", "timestamp_ntz'2024-").replace("Z'", "'"))
+    return spark.sql(m.sql)
 
 
 def row_cap_truncation(spark: SparkSession, d: str) -> DataFrame:
@@ -321,7 +323,7 @@ FROM a FULL JOIN b ON a.f = b.f""",
     "grant_expand": f"WITH {_NOW}, {_T} SELECT DISTINCT 'auditor' AS user_id, f AS table_fqn FROM t WHERE len(string_split(f, '.')) = 3",
     "grant_coverage_gap": f"WITH {_NOW}, {_T}, {_G}, p AS (SELECT DISTINCT u, {_DB.format('k')} AS db FROM g WHERE len(string_split(k, '.')) = 3), due AS (SELECT DISTINCT p.u, p.db, t.f FROM p JOIN t ON {_DB.format('t.f')} = p.db) SELECT u AS user_id, 'database:' || db AS pattern, count(*) AS n_missing FROM due WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.u = due.u AND g.k = due.f) GROUP BY 1, 2",
     "stale_grants": f"WITH {_NOW}, {_T}, {_G} SELECT DISTINCT u AS user_id, k AS table_fqn FROM g WHERE k NOT IN (SELECT f FROM t)",
-    "grants_replace": f"WITH {_NOW}, {_T}, {_G} SELECT 'removed' AS change, count(*) AS n FROM (SELECT DISTINCT u, k FROM g WHERE k NOT IN (SELECT f FROM t))",
+    "grants_replace": f"WITH {_NOW}, {_T}, {_G}, p AS (SELECT DISTINCT u, k, k IN (SELECT f FROM t) AS ok FROM g) SELECT CASE WHEN ok THEN 'kept' ELSE 'removed' END AS change, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT 'added', count(*) FROM t",
     "metric_dry_run_exec": "SELECT round(count(*) FILTER (WHERE event_type = 'error')::DOUBLE / nullif(count(*), 0), 6) AS failure_rate FROM events WHERE (value >= 1 OR value < 0.5) AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'",
     "row_cap_truncation": "SELECT least(count(*), 500)::INTEGER AS row_count, count(*) > 500 AS truncated FROM lineitem",
     "record_rollup": """SELECT log_day::VARCHAR AS date, tool, count(*) AS calls, count(*) FILTER (status = 'success') AS success,

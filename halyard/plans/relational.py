@@ -124,12 +124,32 @@ FROM nation WINDOW w AS (ORDER BY n_regionkey)""",
     "json_extract": "SELECT event_type, count(*) AS n FROM events WHERE get_json_object(props, '$.k') = '42' GROUP BY event_type",
     "ordered_percentiles": "SELECT o_orderstatus, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 4) AS median FROM orders GROUP BY o_orderstatus",
     "string_agg": "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+    # joins without equality, and the latest row up to a time
+    "range_join": """
+SELECT b.name AS band, count(*) AS n FROM orders o JOIN (VALUES ('low', 0, 50000), ('mid', 50000, 200000), ('high', 200000, 10000000)) AS b(name, lo, hi)
+ON o.o_totalprice >= b.lo AND o.o_totalprice < b.hi GROUP BY b.name""",
+    "interval_join": """
+SELECT c.c_mktsegment AS segment, count(*) AS n FROM events e JOIN events f ON e.user_id = f.user_id AND f.ts > e.ts AND f.ts <= e.ts + INTERVAL '1' DAY
+JOIN customer c ON c.c_custkey = e.user_id GROUP BY c.c_mktsegment""",
+    "asof_join": """
+SELECT event_type, count(*) AS n, count(last_error) AS after_error FROM (
+  SELECT event_type, last_value(CASE WHEN event_type = 'error' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_error
+  FROM events) t GROUP BY event_type""",
+    "approx_distinct": """
+SELECT event_type, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.2 * count(DISTINCT user_id) AS close FROM events GROUP BY event_type""",
+    "approx_median": """
+SELECT o_orderstatus, abs(count(*) FILTER (WHERE o_totalprice <= m) - 0.5 * count(*)) <= 0.01 * count(*) + 1 AS close
+FROM orders JOIN (SELECT o_orderstatus AS s, percentile_approx(o_totalprice, 0.5, 10000) AS m FROM orders GROUP BY o_orderstatus) q ON s = o_orderstatus GROUP BY o_orderstatus""",
+    "sample_all": "SELECT count(*) AS n FROM lineitem TABLESAMPLE (100 PERCENT)",
     "monthly_totals": f"SELECT CAST(date_trunc('month', l_shipdate) AS DATE) IS NOT NULL AS dated, substr({_DAY.format('l_shipdate')}, 1, 7) AS month, {_MONEY.format('l_extendedprice')} AS total FROM lineitem GROUP BY 1, 2",
 }
 
 #: Where the other engine writes something differently.
 _OTHER = {
     "json_extract": lambda s: s.replace("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"),
+    "asof_join": lambda s: s.replace("END) IGNORE NULLS OVER", "END IGNORE NULLS) OVER"),
+    "approx_median": lambda s: s.replace("percentile_approx(o_totalprice, 0.5, 10000)", "median(o_totalprice)"),
+    "sample_all": lambda s: s.replace(" TABLESAMPLE (100 PERCENT)", ""),
     "string_agg": lambda s: s.replace("listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name)", "string_agg(n_name, ',' ORDER BY n_name)"),
 }
 

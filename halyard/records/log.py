@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import re
+import shutil
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from pathlib import Path
-from typing import Any
+from typing import Any, TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,26 +64,68 @@ def summary_path(folder: str, day: str) -> Path:
     return Path(folder) / f"summary-{day}.json"
 
 
+def _summarized_size(folder: str, day: str) -> int | None:
+    """The size of the raw file that a day's summary was made of, from its head alone."""
+    try:
+        with open(summary_path(folder, day), encoding="utf-8") as f:
+            found = re.match(r'\{"date": "[^"]*", "raw_size": (\d+)', f.read(200))
+    except OSError:
+        return None
+    return int(found[1]) if found else None
+
+
+def _write_summary(out: TextIO, day: str, size: int, lines: Iterable[str]) -> None:
+    """One JSON object of lines that come in order: tools, reasons, then keywords."""
+    out.write(f'{{"date": "{day}", "raw_size": {size}')
+    at = -1
+    shapes = (("calls", "tool", "{", "}"), ("rejects", "reason", "{", "}"), ("keywords", "keyword", "[", "]"))
+
+    def go_to(n: int) -> None:
+        nonlocal at
+        while at < n:
+            out.write((shapes[at][3] if at >= 0 else "") + (f', "{shapes[at + 1][0]}": {shapes[at + 1][2]}' if at + 1 < len(shapes) else "}"))
+            at += 1
+
+    go_to(0)
+    first = True
+    for line in lines:
+        r = json.loads(line)
+        n = next(n for n, (_, key, *_) in enumerate(shapes) if key in r)
+        first = first or n > at
+        go_to(n)
+        name = r.pop(shapes[n][1])
+        value = {"keyword": name, "count": r["n"]} if n == 2 else r["n"] if n == 1 else r
+        out.write(("" if first else ", ") + (f"{json.dumps(name, ensure_ascii=False)}: " if n < 2 else "") + json.dumps(value, ensure_ascii=False))
+        first = False
+    go_to(len(shapes))
+
+
 def summarize(spark: SparkSession, folder: str, today: dt.date) -> list[str]:
     """Summaries of all finished days whose raw file has another size than when it
-    was summarised; a line that came late makes its day be summarised again.
-    Gives the days. Each summary is put in place in one step."""
-    from halyard.records.rollup import daily_summaries
+    was summarised; a line that came late makes its day be summarised again. Gives
+    the days. Tasks write the lines of summaries, of which each day's object is put
+    together line by line and put in place in one step."""
+    from halyard.records.rollup import summary_lines
 
     due: dict[str, int] = {}
     for p in sorted(Path(folder).glob("raw-????-??-??.jsonl")):
         day, size = p.stem[4:], p.stat().st_size
-        done = summary_path(folder, day)
-        if day < today.isoformat() and not (done.exists() and json.loads(done.read_text())["raw_size"] == size):
+        if day < today.isoformat() and _summarized_size(folder, day) != size:
             due[day] = size
     if not due:
         return []
     log = read_log(spark, folder + "/raw-*.jsonl").where(F.col("log_day").cast("string").isin(list(due)))
-    for r in daily_summaries(log).collect():
-        s = {"date": r.date, "raw_size": due[r.date], "calls": {k: v.asDict() for k, v in r.calls.items()}, "rejects": r.rejects, "keywords": [k.asDict() for k in r.keywords]}
-        tmp = summary_path(folder, r.date).with_suffix(".tmp")
-        tmp.write_text(json.dumps(s, ensure_ascii=False))
-        os.replace(tmp, summary_path(folder, r.date))
+    made = Path(folder) / f".summaries-{os.getpid()}"
+    lines = summary_lines(log)
+    # sorted by range within a day, so that its parts follow each other by their names
+    lines.repartitionByRange("date", "o", "name").sortWithinPartitions("date", "o", "name").select("date", "line").write.mode("overwrite").partitionBy("date").text(str(made))
+    for day, size in due.items():
+        tmp = summary_path(folder, day).with_suffix(".tmp")
+        parts = sorted((made / f"date={day}").glob("part-*"))
+        with open(tmp, "w", encoding="utf-8") as out:
+            _write_summary(out, day, size, (line for p in parts for line in p.open(encoding="utf-8")))
+        os.replace(tmp, summary_path(folder, day))
+    shutil.rmtree(made, ignore_errors=True)
     return sorted(due)
 
 

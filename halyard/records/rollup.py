@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,24 +36,19 @@ def keywords(log: DataFrame, day: str = "log_day") -> DataFrame:
     return calls(log).where("tool = 'search_entities'").select(F.col(day).cast("string").alias("date"), word.alias("keyword")).where("keyword <> ''").groupBy("date", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
-def daily_summaries(log: DataFrame) -> DataFrame:
-    """One row per day with any line: date, calls (by tool), rejects (by reason) and
-    keywords, the most frequent first."""
-    days = log.select(F.col("log_day").cast("string").alias("date")).where("date IS NOT NULL").distinct()
+def summary_lines(log: DataFrame) -> DataFrame:
+    """(date, o, name, line) of the days' summaries: a line of JSON for each tool, each
+    reason of rejections and each keyword, these in order of frequency; o and name
+    give the order. Nothing is gathered by day."""
     fields = ("calls", "success", "rejected", "timeout", "parse_error", "rows", "truncated")
-    tools = per_tool(log).where("tool IS NOT NULL").groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("tool", F.struct(*fields)))).alias("calls"))
-    rejects = reject_reasons(log).groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("rejects"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "keyword")))
-    words = keywords(log).groupBy("date").agg(F.transform(order, lambda x: F.struct(x.keyword.alias("keyword"), (-x.o).alias("count"))).alias("keywords"))
-    out = days.join(tools, "date", "left").join(rejects, "date", "left").join(words, "date", "left")
-    kind = {f.name: f.dataType for f in out.schema}
-    empty = {c: F.lit(None).cast(kind[c]) for c in ("calls", "rejects", "keywords")}
-    return out.select(
-        "date",
-        F.coalesce("calls", F.from_json(F.lit("{}"), kind["calls"])).alias("calls"),
-        F.coalesce("rejects", F.from_json(F.lit("{}"), kind["rejects"])).alias("rejects"),
-        F.coalesce("keywords", F.array().cast(kind["keywords"]), empty["keywords"]).alias("keywords"),
-    )
+    low = F.lit(-(1 << 62)).cast("bigint")
+
+    def rows(df: DataFrame, o: Column, name: str, *more: str) -> DataFrame:
+        return df.where("date IS NOT NULL").select("date", o.alias("o"), F.col(name).alias("name"), F.to_json(F.struct(name, *more)).alias("line"))
+
+    tools = rows(per_tool(log).where("tool IS NOT NULL"), low, "tool", *fields)
+    rejects = rows(reject_reasons(log), low + 1, "reason", "n")
+    return tools.unionByName(rejects).unionByName(rows(keywords(log), -F.col("n"), "keyword", "n"))
 
 
 def multiset_diff(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from halyard.errors import invalid
 from halyard.semantic.graph import tables_behind
 from halyard.semantic.search import live
+from halyard.session import materialize
 
 _SEGMENT = r"[^.\s:*\0]+"
 _TARGET = re.compile(rf"(?:{_SEGMENT}\.{_SEGMENT}\.{_SEGMENT}|(?:metric|concept|service):{_SEGMENT}|database:{_SEGMENT}\.{_SEGMENT})\Z")
@@ -30,7 +31,7 @@ def is_pattern(target: str) -> bool:
 def expand(entities: DataFrame, relations: DataFrame, wanted: DataFrame) -> DataFrame:
     """(user_id, table_fqn), distinct, of the wanted (user_id, target). A target that
     stands for no table refuses the whole."""
-    behind = tables_behind(entities, relations, wanted)
+    behind = materialize(tables_behind(entities, relations, wanted))
     empty = wanted.select("target").distinct().join(behind.select("target").distinct(), "target", "left_anti").orderBy("target").limit(1).collect()
     if empty:
         raise invalid("empty_target", f"{empty[0].target} stands for no table", target=empty[0].target)

@@ -49,7 +49,7 @@ def metric_sql(name: str, expression: str, filter_: str, tables: list[str], time
             if len(cols) > 1:
                 out.notes.append(f"{t} has several time columns, {cols[0].split('.')[-1]} is used")
             c = f"{t.split('.')[-1]}.{cols[0].split('.')[-1]}"
-            where += [f"{c} >= '{start}'", f"{c} < '{end}'"]
+            where += [f"{c} >= TIMESTAMP '{start}'", f"{c} < TIMESTAMP '{end}'"]
             out.time_applied = True
     if where:
         out.sql += " WHERE " + " AND ".join(where)

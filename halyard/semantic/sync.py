@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.config import EMBED_BATCH
@@ -15,9 +16,12 @@ from halyard.semantic.grants import coverage_gap, expand, is_pattern, replacemen
 from halyard.semantic.model import KEYS
 from halyard.semantic.search import embedding_targets
 from halyard.semantic.store import Store
+from halyard.session import materialize, ship_package
 from halyard.sources.yaml_files import load_catalog, load_grants
 
-#: Turns texts into vectors, a batch at a time.
+#: Tasks that call the embedder at the same time.
+EMBED_TASKS = 4
+#: Turns texts into vectors, a batch at a time; it is sent to the tasks.
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
@@ -60,47 +64,44 @@ def sync(spark: SparkSession, store: Store, folder: str, dry_run: bool = False,
 
 
 def embed_missing(spark: SparkSession, store: Store, embed: Embedder, model: str) -> int:
-    """Vectors for the entities that lack one of this model, in batches with one
-    retry each. If the model's dimension has changed, all vectors are made anew.
-    Rows of removed entities and of other models go."""
+    """Vectors for the entities that lack one of this model. If the model's dimension
+    has changed, all vectors are made anew. Rows of removed entities and of other
+    models go. The embedder is called where the entities are, by at most EMBED_TASKS
+    tasks at once, and vectors are written from there."""
+    ship_package(spark)
     entities, have = store.read("entities"), store.read("embeddings").where(F.col("model") == model)
-    todo = embedding_targets(entities, have, model)
-
-    def made(rows: Iterator) -> Iterator[tuple[str, list[float]]]:
-        batch: list = []
-        for r in rows:
-            batch.append(r)
-            if len(batch) == EMBED_BATCH:
-                yield from _embedded(batch, embed)
-                batch = []
-        if batch:
-            yield from _embedded(batch, embed)
-
-    new = list(made(todo.orderBy("fqn").toLocalIterator()))
-    if not new:
+    new = _vectors(embedding_targets(entities, have, model), embed, model)
+    dims = [r[0] for r in new.select(F.size("vector")).distinct().limit(2).collect()]
+    if not dims:
         return 0
-    dims = {len(v) for _, v in new}
     if len(dims) > 1:
         raise ValueError("vectors of different dimensions")
-    other = have.where(F.size("vector") != dims.pop()).limit(1).count()
-    if other:
+    if not have.where(F.size("vector") != dims[0]).isEmpty():
         have = have.where("false")
-        new = list(made(embedding_targets(entities, have, model).orderBy("fqn").toLocalIterator()))
+        new = _vectors(embedding_targets(entities, have, model), embed, model)
     live = entities.where(~F.coalesce("tombstone", F.lit(False))).select(F.col("fqn").alias("entity_fqn"))
-    rows = spark.createDataFrame([(f, model, [float(x) for x in v]) for f, v in new], "entity_fqn string, model string, vector array<float>")
-    store.write({"embeddings": have.join(live, "entity_fqn", "left_semi").unionByName(rows)})
-    return len(new)
-
-
-def _embedded(batch: list, embed: Embedder) -> Iterator[tuple[str, list[float]]]:
-    texts = [r.text for r in batch]
-    try:
-        vectors = embed(texts)
-    except Exception:
-        vectors = embed(texts)
-    if len(vectors) != len(batch):
-        raise ValueError("a vector is missing")
-    yield from zip((r.fqn for r in batch), vectors)
+    store.write({"embeddings": have.join(live, "entity_fqn", "left_semi").unionByName(new)})
+    return new.count()
+
+
+def _vectors(todo: DataFrame, embed: Embedder, model: str) -> DataFrame:
+    """(entity_fqn, model, vector) of rows of fqn and text, in batches with one retry each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, EMBED_BATCH):
+                part = b.slice(a, EMBED_BATCH)
+                texts = part.column(1).to_pylist()
+                try:
+                    vectors = embed(texts)
+                except Exception:
+                    vectors = embed(texts)
+                if len(vectors) != len(texts):
+                    raise ValueError("a vector is missing")
+                made = pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model] * len(texts)), made], names=["entity_fqn", "model", "vector"])
+
+    return materialize(todo.repartition(EMBED_TASKS).mapInArrow(run, "entity_fqn string, model string, vector array<float>"))
 
 
 def apply_grants(spark: SparkSession, store: Store, text: str) -> dict[str, int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 import yaml
 
@@ -89,8 +91,31 @@ def test_findings(spark):
     v = spark.createDataFrame([("p", "t", "a", "character varying(36)"), ("p", "t", "b", "integer"), ("p", "t", "d", "numeric(12,2)"), ("p", "t", "e", "text")], cols)
     got = [(r.severity, r.message) for r in ordered(calibrate(d, v)).collect()]
     assert got == [("error", "p.t.c isn't in the database"), ("warn", "p.t.b is bigint in the draft and integer in the database"), ("warn", "p.t.e isn't in the draft")]
-    assert exit_code(calibrate(d, v)) == 1 and exit_code(calibrate(v, v)) == 0
+    assert exit_code(calibrate(d, v)) == 2 and exit_code(calibrate(v, v)) == 0
     models = spark.createDataFrame([("t", "a", "varchar(36)"), ("t", "z", None), ("t", "b", None)], "table string, column string, type string")
     got = [(r.severity, r.message) for r in ordered(cross_check(d, models)).collect()]
     assert got == [("error", "t.z is only in the model"), ("warn", "t.c is only in the migrations"), ("warn", "t.d is only in the migrations")]
     assert live_columns(spark, {"t": v}).count() == 4
+
+
+def test_scan_against_models(spark, tmp_path, monkeypatch, capsys):
+    """Exit codes of scan: 0, 2 with an error among the findings, 1 if it can't be run."""
+    from halyard import cli
+
+    monkeypatch.setattr(cli, "make_session", lambda master=None: spark)
+    (tmp_path / "shop" / "migrations").mkdir(parents=True)
+    (tmp_path / "shop" / "migrations" / "1.up.sql").write_text("CREATE TABLE goods (id bigint, price numeric(8,2));")
+    (tmp_path / "m.yaml").write_text("version: 1\nservices:\n  - {name: shop, dir: shop, db: main}\n")
+    models = tmp_path / "models.json"
+
+    def scan(*columns):
+        models.write_text("\n".join(json.dumps({"service": "shop", "table": "goods", "column": c, "type": t}) for c, t in columns))
+        return cli.main(["scan", str(tmp_path / "m.yaml"), str(tmp_path), str(tmp_path / "out"), "--models", str(models)])
+
+    assert scan(("id", "int8"), ("price", None)) == 0 and "warn" not in capsys.readouterr().out
+    assert scan(("id", "text"), ("price", None)) == 0 and "shop.goods.id is bigint" in capsys.readouterr().out
+    assert scan(("id", "bigint"), ("colour", "text")) == 2 and "error shop.goods.colour is only in the model" in capsys.readouterr().out
+    assert cli.main(["scan", str(tmp_path / "absent.yaml"), str(tmp_path), str(tmp_path / "out")]) == 1
+    assert cli.embedder("json:loads") is json.loads and cli.embedder(None) is None
+    with pytest.raises(AttributeError):
+        cli.embedder("json:nothing")

@@ -8,10 +8,10 @@ import oracle
 import pytest
 from conftest import DATA
 
-from halyard.plans import catalog, problems, relational
+from halyard.plans import catalog, problems, relational, tools
 
-QUERIES = {**problems.QUERIES, **relational.QUERIES, **catalog.QUERIES}
-SQL = {**problems.SQL, **relational.SQL, **catalog.SQL}
+QUERIES = {**problems.QUERIES, **relational.QUERIES, **catalog.QUERIES, **tools.QUERIES}
+SQL = {**problems.SQL, **relational.SQL, **catalog.SQL, **tools.SQL}
 #: Of which there may be none in the smallest tables.
 MAY_BE_EMPTY = {"in_semi", "intersect_keys", "except_keys", "except_all", "not_exists_anti", "having_groups", "keyword_and_search", "keyword_bm25_rank", "json_extract", "exists_semi", "full_outer_gap", "catalog_drift", "model_crosscheck"}
 

@@ -237,7 +237,7 @@ def test_catalogue_tools(engine):
     refused("too_long", engine.get_entity, ANN, "x" * 513)
     m = engine.get_metric_definition(ANN, "open_rate", {"start": "2024-01-01T00:00:00Z", "end": "2024-02-01T00:00:00Z"})
     assert m["time_applied"] and m["tables"] == ["shop.main.orders"]
-    assert m["dry_run_sql"].endswith("FROM orders WHERE (o_totalprice > 0 OR o_totalprice IS NULL) AND orders.o_orderdate >= '2024-01-01T00:00:00Z' AND orders.o_orderdate < '2024-02-01T00:00:00Z'")
+    assert m["dry_run_sql"].endswith("FROM orders WHERE (o_totalprice > 0 OR o_totalprice IS NULL) AND orders.o_orderdate >= TIMESTAMP '2024-01-01T00:00:00Z' AND orders.o_orderdate < TIMESTAMP '2024-02-01T00:00:00Z'")
     for bad in ({"start": "2024-02-01T00:00:00Z", "end": "2024-01-01T00:00:00Z"}, {"start": "x", "end": "y"}, {"start": "2024-01-01T00:00:00Z"}, {"start": "2024-01-01T00:00:00", "end": "2024-02-01T00:00:00Z"}):
         refused("bad_time", engine.get_metric_definition, ANN, "open_rate", bad)
     refused("wrong_kind", engine.get_metric_definition, ANN, "buyer")
