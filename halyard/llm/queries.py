@@ -104,7 +104,7 @@ others AS (SELECT x AS doc_id, count(*) AS n FROM (SELECT unnest([a, b]) AS x FR
 
 SQL = {
     "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
-    "p7_within": "SELECT source, target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE length(text) > 0) AS used, true AS within_block, true AS share_reached, true AS repeats_kept FROM mix_targets",
+    "p7_within": "SELECT source, target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE source IS NOT NULL AND length(text) > 0) AS used, true AS within_block, true AS share_reached, true AS repeats_kept FROM mix_targets",
     "p8_found": f"WITH {_WINDOWS} SELECT a AS doc_a, b AS doc_b FROM pairs",
     "p8_spans": f"WITH {_WINDOWS}, {_COVERED} SELECT d.doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(c, 0)::BIGINT AS shared_chars, coalesce(n, 0)::BIGINT AS n_others FROM documents d LEFT JOIN chars USING (doc_id) LEFT JOIN others USING (doc_id)",
     "p8_links": f"WITH {_WINDOWS} SELECT a AS doc_a, b AS doc_b FROM pairs JOIN classes x ON x.doc_id = a AND x.class_id = a JOIN classes y ON y.doc_id = b AND y.class_id = b",
