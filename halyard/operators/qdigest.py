@@ -234,8 +234,8 @@ def digests(df: DataFrame, keys: dict[str, Column], values: Column, label: str,
 
     Null and negative values of the map and null maps don't count; null keys are a group.
     Each task first makes its own digests; their nodes are added and compressed,
-    in two steps where more than FAN_IN tasks could have part in a group, so that
-    no task merges more than FAN_IN digests of bounded size.
+    in two steps unless at most FAN_IN tasks have part in a group, so that no task
+    merges more than FAN_IN digests of bounded size.
     """
     ship_package(df.sparkSession)
     k = compression(error)
@@ -243,7 +243,8 @@ def digests(df: DataFrame, keys: dict[str, Column], values: Column, label: str,
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__m")
     names = [*keys, label]
     part = src.mapInArrow(_fold_maps(names, k), f"{kinds}, `{label}` string, {NODE}")
-    if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > FAN_IN:
+    tasks = int(src._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions())  # 0: not known before it runs
+    if not 0 < tasks <= FAN_IN:
         salted = part.withColumn("__salt", F.spark_partition_id() % F.lit(FAN_IN))
         part = _merge(salted, [*names, "__salt"], k).drop("__salt")
     return _merge(part, names, k)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.config import CHANNEL_HITS, SEARCH_HITS
+from halyard.session import materialize
 
 #: Terms shorter than a trigram can't be found by themselves.
 TERM_CHARS = 3
@@ -42,7 +43,8 @@ def bm25(df: DataFrame, key: str, texts: Sequence[str], query: Sequence[str], am
         sum((F.greatest(F.char_length(t) - 2, F.lit(0)) for t in low), F.lit(0)).alias("dl"),
         F.array(*(sum((occurrences(t, q) for t in low), F.lit(0)) for q in query)).alias("f"),
     )
-    # one pass for the statistics, whose one row is a scalar in the next
+    # texts are read once: what is counted of them is written, for the statistics and the hits
+    rows = materialize(rows)
     has = [F.sum(F.when(F.get("f", F.lit(i)) > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(query))]
     stats = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("av"), *has).alias("s")).scalar()
     hit = rows.where(F.col("ok") & F.forall("f", lambda x: x > 0)).withColumn("s", stats)

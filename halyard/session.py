@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -46,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not is_local(spark):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="halyard-")
+        atexit.register(shutil.rmtree, d, True)
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
