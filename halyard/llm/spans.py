@@ -17,6 +17,8 @@ from halyard.session import materialize, ship_package, size_estimate
 
 #: Groups that the rows of a frequent key are spread over in a join.
 SALT = 8
+#: Members of a class that are in one place of a join; a larger class is spread over more.
+SPREAD = 10_000
 #: Anchors that a task gathers before it sends them.
 SEND_AT = 1 << 17
 #: Anchors of a hash range, the least number of which makes a range of its own.
@@ -311,7 +313,11 @@ class SharedSpans:
         if not several.isEmpty():
             self.docs = self.docs.withColumn("key", key).join(several, "doc_id", "left").where(F.col("hi").isNull() | (mark == F.col("hi"))).select("doc_id", "text")
             keyed = materialize(self.docs.select("doc_id", key.alias("key")))
-        #: (doc_id, rep) of the documents that have exact copies, each once
+        classes = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).where("rep < top")
+        ways = F.expr(f"(n - 1) div {SPREAD} + 1").cast("int").alias("ways")
+        #: (key, rep, ways) of the texts that several documents have
+        self._classes = materialize(classes.select("key", "rep", ways))
+        #: (doc_id, rep, ways, way) of the documents that have exact copies, each once
         self.members = self._members(keyed)
         self.ranges = ranges or self._ranges(size_estimate(docs))
         self._reduced = self._without(keyed.select("doc_id"), self.members.where("doc_id <> rep").select("doc_id"))
@@ -324,10 +330,9 @@ class SharedSpans:
         return n if text_bytes >= 1 << 60 else max(n, text_bytes // 20 // RANGE + 1)
 
     def _members(self, keyed: DataFrame) -> DataFrame:
-        classes = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top").select("key", "rep")
-        classes = materialize(classes)
-        mine = keyed.where(Filter(classes, "key").holds("key")).select("key", "doc_id", _salt("doc_id"))
-        return materialize(mine.join(classes.select("key", "rep", _salts()), ["key", "salt"]).select("doc_id", "rep").distinct())
+        mine = keyed.where(Filter(self._classes, "key").holds("key")).select("key", "doc_id", _salt("doc_id"))
+        found = mine.join(self._classes.select("*", _salts()), ["key", "salt"]).select("doc_id", "rep", "ways").distinct()
+        return materialize(found.withColumn("way", F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int")))
 
     def _without(self, ids: DataFrame, out: DataFrame) -> DataFrame:
         """The documents whose id isn't in `out`, in one pass without a shuffle of texts
@@ -394,13 +399,16 @@ class SharedSpans:
         return self._expanded(materialize(self.rep_pairs()))
 
     def _expanded(self, reps: DataFrame) -> DataFrame:
-        a = self.members.select(F.col("rep").alias("a"), F.col("doc_id").alias("in_a"))
-        b = self.members.select(F.col("rep").alias("b"), F.col("doc_id").alias("in_b"))
-        wide = reps.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("in_a", "a").alias("x"), F.coalesce("in_b", "b").alias("y"))
-        across = wide.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
-        left = self.members.select("rep", F.col("doc_id").alias("doc_a"), _salt("doc_id"))
-        right = self.members.select("rep", F.col("doc_id").alias("doc_b"), _salts())
-        within = left.join(right, ["rep", "salt"]).where("doc_a < doc_b").select("doc_a", "doc_b")
+        wide = reps
+        for end, other in (("a", "b"), ("b", "a")):
+            ways = self._classes.select(F.col("rep").alias(end), "ways")
+            way = F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)).alias("way")
+            mine = self.members.select(F.col("rep").alias(end), "way", "doc_id")
+            wide = wide.join(ways, end, "left").select("a", "b", way).join(mine, [end, "way"], "left").select(F.coalesce("doc_id", end).alias(end), other)
+        across = wide.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
+        left = self.members.select("rep", "way", F.col("doc_id").alias("doc_a"))
+        right = self.members.select("rep", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"), F.col("doc_id").alias("doc_b"))
+        within = left.join(right, ["rep", "way"]).where("doc_a < doc_b").select("doc_a", "doc_b")
         return across.unionByName(within)
 
     def found(self) -> tuple[DataFrame, DataFrame]:
