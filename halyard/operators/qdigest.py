@@ -11,6 +11,7 @@ the counts of its ancestors, at most LEVELS * n / k, after any number of merges.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -228,6 +229,14 @@ def _merge(nodes: DataFrame, names: Sequence[str], k: int) -> DataFrame:
     return added.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_fold_groups(len(keys), k, last), schema)
 
 
+def _tasks(df: DataFrame) -> int:
+    """How many tasks df has at most: those of its last shuffle. 0 if there is none, as
+    the files' splits aren't known before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    last = None if "Union" in plan else re.search(r"Exchange \w+\((?:.*, )?(\d+)\)", plan)
+    return int(last[1]) if last else 0
+
+
 def digests(df: DataFrame, keys: dict[str, Column], values: Column, label: str, error: float = 0.01) -> DataFrame:
     """Digests as rows (keys..., label, level, idx, cnt), one digest for each
     combination of keys and key of the map column `values` (map<string, bigint>).
@@ -243,8 +252,7 @@ def digests(df: DataFrame, keys: dict[str, Column], values: Column, label: str,
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__m")
     names = [*keys, label]
     part = src.mapInArrow(_fold_maps(names, k), f"{kinds}, `{label}` string, {NODE}")
-    tasks = int(src._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions())  # 0: not known before it runs
-    if not 0 < tasks <= FAN_IN:
+    if not 0 < _tasks(src) <= FAN_IN:
         salted = part.withColumn("__salt", F.spark_partition_id() % F.lit(FAN_IN))
         part = _merge(salted, [*names, "__salt"], k).drop("__salt")
     return _merge(part, names, k)

@@ -271,6 +271,13 @@ def test_orphans_read_references_once(spark):
     assert df.count() > 0 and not any("dgw_table_grants" in f for f in df.inputFiles())
 
 
+def test_tasks_are_those_of_the_last_shuffle(spark):
+    df = spark.range(10).selectExpr("id % 3 AS a", "id AS b")
+    assert qdigest._tasks(df.repartition(7, "a", "b").where("b > 1")) == 7 == qdigest._tasks(df.repartition(3).repartition(7))
+    assert qdigest._tasks(df.groupBy("a").count()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert qdigest._tasks(df) == 0 == qdigest._tasks(df.repartition(7).union(df))
+
+
 # 5. snapshots
 
 SNAPS = "snapshot_no int, fqn string, description string, tombstone boolean, updated_at timestamp, leaf string, v string, no int"
