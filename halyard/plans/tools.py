@@ -16,7 +16,7 @@ from halyard.semantic.grants import expand
 from halyard.semantic.model import SCHEMAS
 from halyard.semantic.search import embedding_coverage, embedding_targets
 from halyard.semantic.store import Store
-from halyard.session import shared_dir
+from halyard.session import materialize, shared_dir
 from halyard.sources.tables import table
 
 ANN = Caller("ann", "key")
@@ -142,7 +142,7 @@ def tool_statements(spark: SparkSession, d: str) -> DataFrame:
 
 def grant_expand_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Every metric, concept, service, database and table as a target of its own user."""
-    world = catalogue(spark, d)
+    world = {name: materialize(df) for name, df in catalogue(spark, d).items() if name != "enum_values"}
     e = world["entities"].where("fqn NOT LIKE 'w%' AND fqn <> 'error_rate'")
     has = world["relations"].where("type = 'describes'").select(F.col("src_fqn").alias("fqn")).distinct()
     targets = e.where("kind IN ('service', 'database', 'table')").unionByName(e.join(has, "fqn", "left_semi").where("kind IN ('metric', 'concept')").select(e.columns))
